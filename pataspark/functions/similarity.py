@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def _lcs(a: str, b: str) -> int:
@@ -76,6 +78,16 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return token_set_score(shared, only_a, only_b, lcs_length(only_a, only_b))
 
 
+def with_token_set_ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Add the token-set ratio of two columns, each step worked out once per row."""
+    shared, only_a, only_b = token_parts(F.col("_tokens_a"), F.col("_tokens_b"))
+    staged = (df.select("*", tokens(F.col(a)).alias("_tokens_a"), tokens(F.col(b)).alias("_tokens_b"))
+              .select(*df.columns, shared.alias("_shared"), only_a.alias("_only_a"), only_b.alias("_only_b"))
+              .select("*", lcs_length("_only_a", "_only_b").alias("_lcs")))
+    score = token_set_score(F.col("_shared"), F.col("_only_a"), F.col("_only_b"), F.col("_lcs"))
+    return staged.select(*df.columns, score.alias(name))
+
+
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0
@@ -127,3 +139,7 @@ def sounds_alike(a: Column, b: Column) -> Column:
 def edit_distance(a: Column, b: Column, limit: int | None = None) -> Column:
     """Levenshtein distance; -1 above ``limit``."""
     return F.levenshtein(a, b) if limit is None else F.levenshtein(a, b, limit)
+
+
+# Executors get these small functions with the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -126,7 +126,7 @@ def value_shape(c: Column) -> Column:
 
 def split_list(c: Column, sep: str = ",") -> Column:
     """Split list text and trim the items; empty text gives an empty array."""
-    items = F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(items, F.array().cast("array<string>"))
 
 

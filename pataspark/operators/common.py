@@ -42,6 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows that are few in bytes but each a lot of work over all cores.
+
+    Adaptive execution packs a small shuffle into a single task; a fixed number keeps it apart.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks)
+
+
 def last_row_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the row that comes last in ``order`` for every key (partial aggregation first)."""
     rest = [c for c in df.columns if c not in keys]

@@ -105,7 +105,7 @@ def load_pincode_directory(raw: DataFrame, version: str, *, clean: bool = True)
         *[text(c).alias(c) for c in ("taluk", "circle", "region", "division")],
         F.col("latitude").try_cast("double").alias("latitude"),
         F.col("longitude").try_cast("double").alias("longitude"),
-        (F.transform(items, F.initcap) if clean else items).alias("localities"),
+        (F.transform(items, lambda x: F.initcap(x)) if clean else items).alias("localities"),
         F.lit(version).alias("source_version"))
     return df.filter(is_pin(F.col("pincode"))) if clean else df
 

@@ -10,7 +10,7 @@ from pataspark.functions import text
 from pataspark.operators import (
     audit, census, dashboard, dictionary, jobs, lookups, match, parse, pincode, quality, spatial, spelling,
 )
-from pataspark.operators.common import first_non_empty, last_row_wins, top_k
+from pataspark.operators.common import cut_lineage, first_non_empty, last_row_wins, spread, top_k
 from pataspark.plans import address as plans, results
 from pataspark.streaming import progress
 from pataspark.workload.base import Source, oracle, query
@@ -178,12 +178,16 @@ _N = "SELECT DISTINCT lower(canonical_name) AS name FROM f_locality"
 
 
 def _texts(s: Source):
-    return match.distinct_queries(s.view("f_record"), "typed")
+    return cut_lineage(spread(match.distinct_queries(s.view("f_record"), "typed")))
+
+
+def _names(s: Source):
+    return cut_lineage(spread(match.distinct_names(s.dictionary)))
 
 
 @query("c4_exact_match", oracle("SELECT query, name FROM q JOIN n ON query = name", "f_record", "f_locality", q=_Q, n=_N))
 def c4(s: Source):
-    return match.exact_matches(_texts(s), match.distinct_names(s.dictionary))
+    return match.exact_matches(_texts(s), _names(s))
 
 
 @query("c5_alias_match", oracle("""
@@ -194,19 +198,19 @@ def c5(s: Source):
 
 @query("c6_prefix_match", oracle("SELECT query, name FROM q JOIN n ON starts_with(name, query)", "f_record", "f_locality", q=_Q, n=_N))
 def c6(s: Source):
-    return match.prefix_matches(_texts(s), match.distinct_names(s.dictionary))
+    return match.prefix_matches(_texts(s), _names(s))
 
 
 @query("c7_edit_distance_match", oracle("""
     SELECT query, name FROM q JOIN n ON length(name) BETWEEN length(query) - 2 AND length(query) + 2 AND levenshtein(query, name) <= 2""",
     "f_record", "f_locality", q=_Q, n=_N))
 def c7(s: Source):
-    return match.edit_distance_matches(_texts(s), match.distinct_names(s.dictionary))
+    return match.edit_distance_matches(_texts(s), _names(s))
 
 
 @query("c8_token_set_match")
 def c8(s: Source):
-    found = match.token_set_matches(_texts(s), match.distinct_names(s.dictionary))
+    found = match.token_set_matches(_texts(s), _names(s))
     return found.select("query", "name", F.round("base", 6).alias("score"))
 
 
@@ -221,7 +225,7 @@ def c9(s: Source):
     SELECT query, name FROM (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY length(name), name) AS rn
       FROM q JOIN n ON starts_with(name, query)) WHERE rn = 1""", "f_record", "f_locality", q=_Q, n=_N))
 def e2(s: Source):
-    hits = match.prefix_matches(_texts(s), match.distinct_names(s.dictionary))
+    hits = match.prefix_matches(_texts(s), _names(s))
     return top_k(hits, ["query"], [F.length("name"), F.col("name")], 1).select("query", "name")
 
 

@@ -24,6 +24,11 @@ def _duck_clean(expr: str) -> str:
     return f"nullif(trim(regexp_replace({expr}, '\\s+', ' ', 'g')), '')"
 
 
+def _half_up(expr: str) -> str:
+    """Round the shortest decimal form of a double half-up to two places, as the library does."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 12)), 2) AS DOUBLE)"
+
+
 PIN_LIST = "regexp_extract_all({0}, '\\b[1-8][0-9]{{5}}\\b')"
 
 
@@ -499,10 +504,10 @@ def h28(s: Source):
     return s.view("f_job").select("job_id", text.percentage(F.col("processed_rows"), F.col("total_rows")).alias("pct"))
 
 
-@query("h30_rate_and_eta", oracle("""
-    SELECT job_id, CASE WHEN total_rows > 0 THEN round(processed_rows * 100.0::DOUBLE / total_rows, 2) ELSE 0.0::DOUBLE END AS pct,
-           round(CASE WHEN manual_review_rows = 0 THEN 0.0::DOUBLE ELSE processed_rows * 1.0::DOUBLE / manual_review_rows END, 2) AS rate,
-           round(CASE WHEN processed_rows = 0 THEN NULL ELSE (total_rows - processed_rows) * 1.0::DOUBLE * manual_review_rows / processed_rows END, 2) AS eta
+@query("h30_rate_and_eta", oracle(f"""
+    SELECT job_id, CASE WHEN total_rows > 0 THEN {_half_up('processed_rows * 100.0::DOUBLE / total_rows')} ELSE 0.0::DOUBLE END AS pct,
+           CASE WHEN manual_review_rows = 0 THEN 0.0::DOUBLE ELSE {_half_up('processed_rows * 1.0::DOUBLE / manual_review_rows')} END AS rate,
+           CASE WHEN processed_rows > 0 THEN {_half_up('(total_rows - processed_rows) * 1.0::DOUBLE * manual_review_rows / processed_rows')} END AS eta
     FROM f_job""", "f_job"))
 def h30(s: Source):
     p, t, sec = F.col("processed_rows"), F.col("total_rows"), F.col("manual_review_rows")

@@ -155,7 +155,7 @@ def _processed(d: Dialect) -> str:
            CASE WHEN overall = 100 THEN 'exact' WHEN overall >= 50 THEN 'fuzzy' WHEN overall >= 30 THEN 'inferred'
                 ELSE 'manual' END AS match_method
     FROM (SELECT o_orderkey AS record_id, 'job_' || CAST(o_custkey % 40 AS STRING) AS job_id, o_orderkey AS row_index,
-                 CAST({d.div('o_orderkey', '1000')} AS INT) AS chunk_index, CAST(o_orderdate AS TIMESTAMP) AS created_at,
+                 CAST({d.div('o_orderkey', '10000')} AS INT) AS chunk_index, CAST(o_orderdate AS TIMESTAMP) AS created_at,
                  {d.hash('CAST(o_orderkey AS STRING)')} AS hh,
                  CAST({d.hash('CAST(o_orderkey AS STRING)')} % 101 AS INT) AS overall,
                  CAST({d.div(d.hash('CAST(o_orderkey AS STRING)'), '101')} % 101 AS INT) AS overall_before,
