@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pataspark.functions import geo
-from pataspark.operators.common import any_case_equal, broadcast_if_small
+from pataspark.operators.common import any_case_equal, broadcast_if_small, cut_lineage
 
 # Administrative levels of the boundary table.
 STATE_LEVEL, DISTRICT_LEVEL, CITY_LEVEL, VILLAGE_LEVEL = 4, 6, 8, 10
@@ -26,14 +26,16 @@ def _cell(v: Column) -> Column:
 
 
 def prepare_boundaries(boundaries: DataFrame) -> DataFrame:
-    """Add edges, bounding box and area to every boundary."""
+    """Add edges, bounding box and area to every boundary; written once as many joins read it."""
     e = F.col("edges")
 
     def bound(pick, axis: str) -> Column:
         return pick(F.transform(e, lambda s: s[axis]))
 
-    return (boundaries.select("osm_id", "admin_level", "name", "name_en", "rings", geo.edges(F.col("rings")).alias("edges"))
-            .filter(F.size("edges") > 0)
+    with_edges = boundaries.select("osm_id", "admin_level", "name", "name_en", "rings",
+                                   geo.edges(F.col("rings")).alias("edges"))
+    return cut_lineage(
+        with_edges.filter(F.size("edges") > 0)
             .select("*", bound(F.array_min, "x1").alias("min_x"), bound(F.array_max, "x1").alias("max_x"),
                     bound(F.array_min, "y1").alias("min_y"), bound(F.array_max, "y1").alias("max_y"),
                     geo.polygon_area(F.col("rings")).alias("area")))

@@ -62,9 +62,9 @@ def b8(s: Source):
     return lookups.search_names(s.census, "village_name", "THER", order=["village_name", "village_code"]).select("village_name", "village_code")
 
 
-@query("b9_alias_search", oracle("SELECT id, canonical_name FROM f_locality WHERE alias = 'theren' ORDER BY id LIMIT 50", "f_locality"))
+@query("b9_alias_search", oracle("SELECT id, canonical_name FROM f_locality WHERE alias = 'ndste' ORDER BY id LIMIT 50", "f_locality"))
 def b9(s: Source):
-    return lookups.search_alias(s.dictionary, "theren").select("id", "canonical_name")
+    return lookups.search_alias(s.dictionary, "ndste").select("id", "canonical_name")
 
 
 @query("b10_records_of_jobs", oracle("""
