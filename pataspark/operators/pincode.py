@@ -31,12 +31,12 @@ def resolve_pins(df: DataFrame, pins: DataFrame, pin: str = "pincode") -> DataFr
     ``pins`` has one row per PIN (see :func:`one_row_per_pin`).
     """
     lookup = broadcast_if_small(pins.select(
-        F.col("pincode").alias("_pin"), F.col("district").alias("pin_district"),
+        F.col("pincode").alias("_lookup_pin"), F.col("district").alias("pin_district"),
         F.col("state").alias("pin_state"), F.col("taluk").alias("pin_taluk"),
         F.col("latitude").alias("pin_latitude"), F.col("longitude").alias("pin_longitude"),
         F.lit(PIN_CONFIDENCE).alias("pin_confidence"),
-    ).filter(F.col("_pin").rlike(PIN_FORMAT)))
-    return df.join(lookup, F.col(pin) == F.col("_pin"), "left").drop("_pin")
+    ).filter(F.col("_lookup_pin").rlike(PIN_FORMAT)))
+    return df.join(lookup, F.col(pin) == F.col("_lookup_pin"), "left").drop("_lookup_pin")
 
 
 def pin_localities(directory: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def pin_problems(df: DataFrame, pins: DataFrame, shared_above: int) -> DataFrame
     Values are counted first, so the join sees each distinct PIN once.
     """
     used = df.groupBy("pincode").agg(F.count("*").alias("row_count"))
-    known = pins.select(F.col("pincode").alias("_pin")).distinct()
-    joined = used.join(known, F.col("pincode") == F.col("_pin"), "left")
+    known = pins.select(F.col("pincode").alias("_known_pin")).distinct()
+    joined = used.join(known, F.col("pincode") == F.col("_known_pin"), "left")
     return joined.select(
-        "pincode", pin_problem(F.col("pincode"), F.col("_pin").isNotNull()).alias("problem"), "row_count",
+        "pincode", pin_problem(F.col("pincode"), F.col("_known_pin").isNotNull()).alias("problem"), "row_count",
         (F.col("pincode").isNotNull() & (F.col("row_count") > shared_above)).alias("shared"))

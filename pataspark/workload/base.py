@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pataspark.operators.common import shared_folder
+from pataspark.operators.common import cut_lineage, shared_folder
 from pataspark.operators.pincode import one_row_per_pin
 from pataspark.operators.spatial import prepare_boundaries
 from pataspark.plans.address import ReferenceData
@@ -103,4 +103,6 @@ class Source:
 
     @cached_property
     def references(self) -> ReferenceData:
-        return ReferenceData(self.directory, self.dictionary, self.census, self.boundaries)
+        """The reference tables as written tables, which is what a job reads in practice."""
+        return ReferenceData(cut_lineage(self.directory), cut_lineage(self.dictionary), cut_lineage(self.census),
+                             self.boundaries)
