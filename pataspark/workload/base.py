@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pataspark.operators.common import cut_lineage, shared_folder
+from pataspark.operators.common import cut_lineage, shared_folder, spread
 from pataspark.operators.pincode import one_row_per_pin
 from pataspark.operators.spatial import prepare_boundaries
 from pataspark.plans.address import ReferenceData
@@ -75,9 +75,9 @@ class Source:
 
     @cached_property
     def records(self) -> DataFrame:
-        return self.view("f_record").select(
+        return spread(self.view("f_record").select(
             "record_id", "job_id", "row_index", "patient_id", "line1", "line2", "landmark", "pincode", "city",
-            "district", "state", "country")
+            "district", "state", "country"))
 
     @cached_property
     def processed(self) -> DataFrame:

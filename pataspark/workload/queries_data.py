@@ -307,7 +307,8 @@ _PARSE_SQL = rf"""
 
 @query("k3_parse_addresses", oracle(_PARSE_SQL, "f_record", "f_census", "f_locality"))
 def k3(s: Source):
-    return plans.add_parsed(plans.normalize_addresses(s.records), s.references).select(
+    refs = plans.ReferenceData(s.directory, cut_lineage(s.dictionary), cut_lineage(s.census))
+    return plans.add_parsed(plans.normalize_addresses(s.records), refs).select(
         "record_id", *[F.col(f"parsed.{c}").alias(c) for c in (
             "house_number", "street", "locality", "sublocality", "city", "district", "state", "pincode")])
 
