@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
@@ -75,6 +77,14 @@ def word_bytes(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """An object of the Python worker that outlives its task, so that what one task has learned serves the next."""
+    held = sys.modules.setdefault("_pataspark_worker", types.ModuleType("_pataspark_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 class WordHashes(dict):
     """64-bit hash by word, remembered up to a bound."""
 

@@ -12,7 +12,6 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -128,7 +127,7 @@ SENTENCES = (
 class Rule:
     label: str
     keyword: bytes
-    expression: re.Pattern[bytes]
+    expression: bytes
     score: float
     rank: int
 
@@ -142,25 +141,30 @@ class Detection:
     rank: int
 
 
-@cache
-def rules() -> tuple[Rule, ...]:
+def rules() -> list[Rule]:
     """All rules in order of priority: sentences, then forms, each over all names."""
-    def rule(label: str, keyword: str, expression: str, score: float, rank: int) -> Rule:
-        return Rule(label, keyword.encode(), re.compile(rf"(?<= ){expression}(?= )".encode()), score, rank)
     made = [(label, word, text, score) for label, word, text, score in SENTENCES]
     for form, score in FORMS:
         for label, names in NAMES.items():
             for name in names:
                 made.append((label, max(name.split(), key=len), form.replace("{n}", name), score))
-    return tuple(rule(*m, rank) for rank, m in enumerate(made))
+    return [Rule(label, word.encode(), f"(?<= ){text}(?= )".encode(), score, rank) for rank, (label, word, text, score) in enumerate(made)]
 
 
-@cache
-def _by_keyword() -> dict[bytes, tuple[Rule, ...]]:
-    found: dict[bytes, list[Rule]] = {}
-    for r in rules():
-        found.setdefault(r.keyword, []).append(r)
-    return {k: tuple(v) for k, v in found.items()}
+class RuleBook:
+    """The rules by keyword; an expression is compiled when its keyword is first met."""
+
+    def __init__(self) -> None:
+        self.by_keyword: dict[bytes, list[Rule]] = {}
+        for r in rules():
+            self.by_keyword.setdefault(r.keyword, []).append(r)
+        self._compiled: dict[bytes, re.Pattern[bytes]] = {}
+
+    def matches(self, rule: Rule, joined: bytes) -> Iterator[re.Match[bytes]]:
+        found = self._compiled.get(rule.expression)
+        if found is None:
+            found = self._compiled[rule.expression] = re.compile(rule.expression)
+        return found.finditer(joined)
 
 
 def _starts(joined: bytes) -> list[int]:
@@ -195,10 +199,10 @@ def suppressed(found: list[Detection]) -> list[Detection]:
     return sorted(kept, key=lambda d: (d.first, d.last, d.rank))
 
 
-def detect(text: str) -> tuple[int, list[tuple[str, int]], list[Detection]]:
+def detect(text: str, book: RuleBook | None = None) -> tuple[int, list[tuple[str, int]], list[Detection]]:
     """Number of words, base places (label, first word), detections after suppression."""
-    words = word_bytes(text)
-    here = _by_keyword().keys() & set(words)
+    words, book = word_bytes(text), book or RuleBook()
+    here = book.by_keyword.keys() & set(words)
     if not here:
         return len(words), [], []
     joined = b" " + b" ".join(words) + b" "
@@ -212,8 +216,8 @@ def detect(text: str) -> tuple[int, list[tuple[str, int]], list[Detection]]:
             at = joined.find(sought, at + 1)
     found = []
     for k in here:
-        for r in _by_keyword()[k]:
-            for m in r.expression.finditer(joined):
+        for r in book.by_keyword[k]:
+            for m in book.matches(r, joined):
                 found.append(Detection(r.label, bisect_left(starts, m.start()), bisect_left(starts, m.end()) - 1, r.score, r.rank))
     return len(words), base, suppressed(found)
 
@@ -225,8 +229,9 @@ _FOUND_TYPE = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int6
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    book = RuleBook()
     for batch in batches:
-        rows = [detect(t or "") for t in batch.column("text").to_pylist()]
+        rows = [detect(t or "", book) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([n for n, _, _ in rows], pa.int64()),
             pa.array([[{"label": x, "first_word": i} for x, i in b] for _, b, _ in rows], _BASE_TYPE),
