@@ -9,21 +9,22 @@ the offending sentences can be located.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pataspark.llm.common import CACHED_WORDS, md5_number
+from pataspark.llm.common import CACHED_WORDS, md5_number, shared_table
 
 # Labelled documents that the model is fitted on, at most about so many (a sample by hash of doc_id).
 TRAIN_DOCUMENTS = 8_000
-# Features kept: the words and parts of words whose share among toxic documents differs most.
-FEATURES, MIN_TOXIC_DOCUMENTS = 4_096, 5
+# Features kept: words and parts of words whose share among toxic documents is higher by so many standard
+# errors, which hardly any of a million features reaches by chance; the clearest ones if they are very many.
+FEATURES, MIN_ERRORS = 4_096, 6.0
 PARTS = (4, 5)
 LIMIT = 0.5
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
@@ -47,6 +48,16 @@ def word_features(word: bytes) -> set[int]:
     return {xxhash.xxh32_intdigest(p) for p in parts}
 
 
+class _Features(dict):
+    """Features of each word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> np.ndarray:
+        if len(self) >= CACHED_WORDS // 8:
+            self.clear()
+        self[word] = value = np.array(sorted(word_features(word)), np.int64)
+        return value
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
@@ -75,42 +86,41 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-_softplus(logits).sum())) if len(logits) else 0.0
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """Train on (text, label). With one class only, the model gives that class to all texts that have a sentence."""
-    rows = [(sentences(t), int(y)) for t, y in rows if y is not None]
-    toxic = sum(y for _, y in rows)
+def count_features(texts: Iterable[str | None], features: _Features) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts and the number of texts that have each."""
+    seen = [np.empty(0, np.int64)]
+    for text in texts:
+        words = {w for s in sentences(text) for w in s}
+        if words:
+            seen.append(np.unique(np.concatenate([features[w] for w in words])))
+    return np.unique(np.concatenate(seen), return_counts=True)
+
+
+def kept_features(text: str | None, column: dict[int, int], features: _Features) -> tuple[int, list[list[int]]]:
+    """Number of sentences without any kept feature, and the kept features of each other sentence."""
+    plain, held = 0, []
+    for s in sentences(text):
+        found = [column[f] for w in sorted(set(s)) for f in features[w].tolist() if f in column]
+        if found:
+            held.append(found)
+        else:
+            plain += 1
+    return plain, held
+
+
+def fit_weights(rows: list[tuple[int, int, list[list[int]]]], column: dict[int, int]) -> Model:
+    """Weights from (label, plain sentences, features of the others) by gradient steps through the noisy-or.
+
+    With one class only, the model gives that class to all texts that have a sentence.
+    """
+    toxic = sum(y for y, _, _ in rows)
     if not toxic or toxic == len(rows):
         return Model(20.0 if toxic else -20.0, {})
-    of_word: dict[bytes, set[int]] = {}
-    in_toxic, in_clean = Counter(), Counter()
-    for found, y in rows:
-        seen: set[int] = set()
-        for w in {w for s in found for w in s}:
-            if w not in of_word:
-                of_word[w] = word_features(w)
-            seen |= of_word[w]
-        (in_toxic if y else in_clean).update(seen)
-    clean = len(rows) - toxic
-    ranked = sorted(((abs((n + 0.5) / (toxic + 1) - (in_clean[f] + 0.5) / (clean + 1)) / np.sqrt((n + in_clean[f] + 1) / len(rows)), f)
-                     for f, n in in_toxic.items() if n >= MIN_TOXIC_DOCUMENTS), reverse=True)
-    column = {f: i for i, (_, f) in enumerate(ranked[:FEATURES])}
-    if not column:
-        return Model(float(np.log(toxic / clean)), {})
-
-    # Sentences without any feature differ in nothing but their number.
-    document, plain, labels, at, which = [], np.zeros(len(rows)), np.zeros(len(rows)), [], []
-    of_kept = {w: [column[f] for f in sorted(v) if f in column] for w, v in of_word.items()}
-    for d, (found, y) in enumerate(rows):
-        labels[d] = y
-        for s in found:
-            held = [c for w in set(s) for c in of_kept[w]]
-            if held:
-                at += [len(document)] * len(held)
-                which += held
-                document.append(d)
-            else:
-                plain[d] += 1
-    document, at, which = np.array(document, int), np.array(at, int), np.array(which, int)
+    labels, plain = np.array([y for y, _, _ in rows], float), np.array([n for _, n, _ in rows], float)
+    document = np.array([d for d, (_, _, held) in enumerate(rows) for _ in held], int)
+    every = [h for _, _, held in rows for h in held]
+    at = np.repeat(np.arange(len(every)), [len(h) for h in every]).astype(int)
+    which = np.array(list(chain.from_iterable(every)), int)
     size = len(column) + 1
     w = np.zeros(size)
     w[-1] = -4.0
@@ -150,19 +160,50 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features = _Features()
+    for batch in batches:
+        rows = list(zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True))
+        for y in (0, 1):
+            found, n = count_features((t for t, label in rows if label == y), features)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), y, np.int32)), pa.array(n.astype(np.int64))],
+                                             names=["feature", "toxic", "documents"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> Model:
     """Fit on a sample of about ``max_documents`` labelled rows at most, never on held-out ones.
 
-    Labels without id or value are left out; of several labels of one id the highest counts.
+    Labels without id or value are left out; of several labels of one id the highest counts. Features are
+    counted and chosen by Spark; the driver gets the chosen ones and, of each sampled document, which of them its sentences have.
     """
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
+             .filter("doc_id is not null and toxic is not null")
              .filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    n = known.count()
-    share = min(1.0, max_documents / max(1, n))
+    share = min(1.0, max_documents / max(1, known.count()))
     sample = known.filter(md5_number(F.col("doc_id").cast("string"), 32) < int(share * 2**32))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").collect()  # bounded by max_documents
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    rows = shared_table(texts.join(sample, "doc_id").select("doc_id", "text", "toxic"))
+    number = dict(tuple(r) for r in rows.groupBy("toxic").agg(F.count("*")).collect())
+    toxic, clean = number.get(1, 0), number.get(0, 0)
+    if not toxic or not clean:
+        return Model(20.0 if toxic else -20.0, {})
+
+    counts = rows.select("text", "toxic").mapInArrow(_count, "feature long, toxic int, documents long").groupBy("feature").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("documents")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("documents")).otherwise(0)).alias("b"))
+    share = (F.col("a") + F.col("b") + 1) / float(toxic + clean + 2)
+    apart = ((F.col("a") + 0.5) / float(toxic + 1) - (F.col("b") + 0.5) / float(clean + 1)) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
+    chosen = counts.select("feature", apart.alias("apart")).filter(F.col("apart") >= MIN_ERRORS).orderBy(F.desc("apart"), "feature").limit(FEATURES).collect()
+    column = {r["feature"]: i for i, r in enumerate(chosen)}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = _Features()
+        for batch in batches:
+            found = [kept_features(t, column, features) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("toxic"), pa.array([n for n, _ in found], pa.int32()),
+                pa.array([h for _, h in found], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "plain", "held"])
+    held = rows.mapInArrow(keep, "doc_id long, toxic int, plain int, held array<array<int>>").orderBy("doc_id", "plain").collect()  # bounded by max_documents
+    return fit_weights([(r["toxic"], r["plain"], r["held"]) for r in held], column)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
