@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pataspark.schemas import AUDIT_COLUMNS
@@ -68,6 +69,17 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    """Append-only audit rows by month."""
-    month = F.date_format("created_at", "yyyy-MM")
-    audit.withColumn("year_month", month).write.mode("append").partitionBy("year_month").parquet(path)
+    """Append audit rows by month; rows whose id the month already has are left out.
+
+    Ids are stable, so running a batch again adds nothing. Only the ids of the months concerned are read.
+    """
+    rows = audit.withColumn("year_month", F.date_format("created_at", "yyyy-MM")).dropDuplicates(["id", "year_month"])
+    try:
+        written = audit.sparkSession.read.schema("id " + audit.schema["id"].dataType.simpleString() + ", year_month string").parquet(path)
+        written.isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        rows = rows.join(written, ["id", "year_month"], "left_anti")
+    rows.write.mode("append").partitionBy("year_month").parquet(path)

@@ -80,11 +80,11 @@ def enrich_incrementally(source: DataFrame, enrich: Callable[[DataFrame], DataFr
                          keys: tuple[str, ...] = ("job_id", "chunk_index")) -> StreamingQuery:
     """Process files as they land and stop when none are left.
 
-    Each micro-batch replaces its own (job, chunk) partitions, so a batch that is repeated
-    after a failure writes the same files again. A chunk must not be spread over batches.
+    Each micro-batch owns the partitions (job, chunk, batch) that it writes. A batch that is repeated after a failure
+    replaces its own files and nothing else, and a chunk may be spread over any number of batches.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        write_partitions(enrich(batch), target, keys)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_partitions(enrich(batch).withColumn("batch_id", F.lit(batch_id)), target, [*keys, "batch_id"])
 
     return (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

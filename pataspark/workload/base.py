@@ -12,7 +12,7 @@ from pataspark.operators.common import cut_lineage, shared_folder, spread
 from pataspark.operators.pincode import one_row_per_pin
 from pataspark.operators.spatial import prepare_boundaries
 from pataspark.plans.address import ReferenceData
-from pataspark.workload.views import DUCK, Dialect, with_views
+from pataspark.workload.views import DUCK, VIEWS, Dialect, needed, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Derived tables that many queries read: written once per application and folder.
+STORED = ("f_pin", "f_word", "f_locality", "f_census", "f_record")
+_STORE: dict[tuple[str, str, str], str] = {}
+
+
 class Source:
     """Driver tables and derived domain tables of one folder."""
 
@@ -45,7 +50,24 @@ class Source:
         return f"{self.sf_dir}/{name}.parquet"
 
     def view(self, name: str) -> DataFrame:
-        return self.spark.sql(with_views(Dialect(self.sf_dir), f"SELECT * FROM {name}", name))
+        """A derived table. Those in STORED are read from a table in the shared folder."""
+        if name in STORED:
+            return self.spark.read.parquet(self._stored(name))
+        return self.spark.sql(self._text(name))
+
+    def _text(self, name: str) -> str:
+        d = Dialect(self.sf_dir)
+        parts = [f"{n} AS (SELECT * FROM parquet.`{self._stored(n)}`)" if n in STORED and n != name else f"{n} AS ({VIEWS[n][0](d)})"
+                 for n in needed((name,), stop=[n for n in STORED if n != name])]
+        return f"WITH {', '.join(parts)} SELECT * FROM {name}"
+
+    def _stored(self, name: str) -> str:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORE:
+            path = f"{self.scratch()}-{name}"
+            spread(self.spark.sql(self._text(name))).write.parquet(path)
+            _STORE[key] = path
+        return _STORE[key]
 
     def scratch(self) -> str:
         """A new folder next to the checkpoints."""

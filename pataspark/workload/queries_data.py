@@ -14,7 +14,7 @@ from pataspark.operators.common import cut_lineage, first_non_empty, last_row_wi
 from pataspark.plans import address as plans, results
 from pataspark.streaming import progress
 from pataspark.workload.base import Source, oracle, query
-from pataspark.workload.queries_text import _ADDRESS_SQL, _duck_clean, _duck_expand
+from pataspark.workload.queries_text import _ADDRESS_SQL, _duck_clean, _duck_expand, _one_byte
 
 ASOF = datetime(2001, 8, 1)
 
@@ -201,8 +201,8 @@ def c6(s: Source):
     return match.prefix_matches(_texts(s), _names(s))
 
 
-@query("c7_edit_distance_match", oracle("""
-    SELECT query, name FROM q JOIN n ON length(name) BETWEEN length(query) - 2 AND length(query) + 2 AND levenshtein(query, name) <= 2""",
+@query("c7_edit_distance_match", oracle(f"""
+    SELECT query, name FROM q JOIN n ON length(name) BETWEEN length(query) - 2 AND length(query) + 2 AND levenshtein({_one_byte('query')}, {_one_byte('name')}) <= 2""",
     "f_record", "f_locality", q=_Q, n=_N))
 def c7(s: Source):
     return match.edit_distance_matches(_texts(s), _names(s))
@@ -251,7 +251,7 @@ def e7(s: Source):
 
 @query("c17_city_spelling")
 def c17(s: Source):
-    cities = s.census.filter("level = 'City'").select(F.col("village_name").alias("place"))
+    cities = s.census.filter("level IN ('City', 'Town')").select(F.col("village_name").alias("place"))
     return spelling.correct_names(s.records.select(F.col("city").alias("query")), cities, spelling.CITY_THRESHOLD)
 
 
@@ -534,11 +534,11 @@ def d19(s: Source):
 @query("d20_locality_dictionary", oracle("""
     SELECT canonical_name, pincode, district, state, arg_min(source, priority) AS source, median(latitude) AS latitude,
            max(population) AS population, count(*) > 0 AS built
-    FROM (SELECT upper(substr(locality, 1, 1)) || substr(locality, 2) AS canonical_name, p.pincode, p.district, p.state, CAST(NULL AS VARCHAR) AS city,
+    FROM (SELECT replace(upper(substr(locality, 1, 1)), 'ẞ', 'Ss') || substr(locality, 2) AS canonical_name, p.pincode, p.district, p.state, CAST(NULL AS VARCHAR) AS city,
                  f.latitude, CAST(NULL AS BIGINT) AS population, 'india_post' AS source, 0 AS priority
           FROM f_pin_locality AS p JOIN f_pin AS f ON f.pincode = p.pincode
-          UNION ALL SELECT canonical_name, pincode, district, state, city, latitude, NULL, 'osm', 1 FROM f_locality
-          UNION ALL SELECT canonical_name, pincode, district, state, NULL, latitude, population, 'census', 2 FROM f_locality)
+          UNION ALL SELECT replace(upper(substr(canonical_name, 1, 1)), 'ẞ', 'Ss') || substr(canonical_name, 2) AS canonical_name, pincode, district, state, city, latitude, NULL, 'osm', 1 FROM f_locality
+          UNION ALL SELECT replace(upper(substr(canonical_name, 1, 1)), 'ẞ', 'Ss') || substr(canonical_name, 2) AS canonical_name, pincode, district, state, NULL, latitude, population, 'census', 2 FROM f_locality)
     GROUP BY canonical_name, pincode, city, district, state""", "f_pin_locality", "f_pin", "f_locality"))
 def d20(s: Source):
     villages = s.dictionary.select(F.col("canonical_name").alias("village_name"), "pincode", F.col("district").alias("district_name"),
@@ -814,6 +814,19 @@ def i1_failed(s: Source):
     return progress.failed_attempts(chunk_events(s))
 
 
+@query("i2_incremental_enrichment", oracle(
+    "SELECT record_id, job_id, record_id % 3 AS chunk_index, upper(typed) AS enriched FROM f_record", "f_record"))
+def i2(s: Source):
+    """A stream over files that each hold a part of every chunk, one file per micro-batch."""
+    root = s.scratch()
+    rows = s.view("f_record").select("record_id", "job_id", (F.col("record_id") % 3).alias("chunk_index"), "typed")
+    for part in range(3):
+        rows.filter(F.col("record_id") % 7 % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    progress.enrich_incrementally(stream, lambda b: b.withColumn("enriched", F.upper("typed")).drop("typed"), f"{root}/out", f"{root}/log").awaitTermination()
+    return s.spark.read.parquet(f"{root}/out").select("record_id", F.col("job_id").cast("string").alias("job_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), "enriched")
+
+
 @query("i3_events_per_day", """
     SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS event_count FROM events GROUP BY 1, 2""")
 def i3(s: Source):

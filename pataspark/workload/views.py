@@ -2,12 +2,13 @@
 
 ``Dialect`` hides the few expressions that differ. Each view is a text with the views it reads
 listed; :func:`with_views` puts the needed ones in front of a query. Nothing is sampled or
-cut: every view covers its source tables whole.
+cut: every word of every document becomes a locality, every locality is listed under its PIN, and
+every customer becomes a record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 
@@ -37,11 +38,13 @@ class Dialect:
                 else f"unnest(regexp_split_to_array({expr}, '{pattern}'))")
 
     def title(self, expr: str) -> str:
-        """First letter of the text in upper case."""
-        return f"upper(substr({expr}, 1, 1)) || substr({expr}, 2)"
+        """First letter of the text in upper case; the engines differ on the upper case of ß."""
+        return f"CASE WHEN {expr} LIKE 'ß%' THEN {expr} ELSE upper(substr({expr}, 1, 1)) || substr({expr}, 2) END"
 
 
 DUCK = Dialect()
+# Parts over which words are numbered.
+PARTS = 256
 
 
 def _pin(d: Dialect) -> str:
@@ -59,19 +62,27 @@ def _pin(d: Dialect) -> str:
          JOIN {d.table('region')} ON n_regionkey = r_regionkey"""
 
 
+def _distinct_word(d: Dialect) -> str:
+    return f"""
+    SELECT w AS word, {d.hash('w')} AS h FROM (SELECT DISTINCT w FROM (
+            SELECT {d.split_rows('lower(text)', '[^\\\\p{L}]+' if d.spark else '[^\\p{L}]+')} AS w FROM {d.table('documents')}) AS s
+          WHERE w <> '') AS u"""
+
+
 def _word(d: Dialect) -> str:
+    """Words with a gapless number: counted per part of the hash, so that no window holds them all."""
     return f"""
-    SELECT w AS word, {d.hash('w')} AS h, {d.hash('w')} % (SELECT count(*) FROM {d.table('supplier')}) AS home,
-           {d.hash('w')} % (SELECT count(*) FROM {d.table('customer')}) AS slot
-    FROM (SELECT DISTINCT w FROM (
-            SELECT {d.split_rows('lower(text)', '[^a-z]+')} AS w FROM {d.table('documents')} WHERE lang = 'en') AS s
-          WHERE length(w) BETWEEN 5 AND 12) AS u"""
+    SELECT word, h, h % (SELECT count(*) FROM {d.table('supplier')}) AS home,
+           row_number() OVER (PARTITION BY h % {PARTS} ORDER BY h, word) - 1 + before AS number
+    FROM f_distinct_word JOIN (
+      SELECT part, CAST(coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+      FROM (SELECT h % {PARTS} AS part, count(*) AS n FROM f_distinct_word GROUP BY h % {PARTS}) AS c) AS b ON part = h % {PARTS}"""
 
 
 def _locality(d: Dialect) -> str:
     return f"""
     SELECT {d.hash('word', 13)} AS id, h, word,
-           {d.title('word')} || CASE WHEN h % 5 = 0 THEN ' Nagar' WHEN h % 11 = 0 THEN ' Colony' ELSE '' END AS canonical_name,
+           ({d.title('word')}) || CASE WHEN h % 5 = 0 THEN ' Nagar' WHEN h % 11 = 0 THEN ' Colony' ELSE '' END AS canonical_name,
            CASE WHEN h % 4 = 0 THEN substr(word, 1, length(word) - 1) END AS alias,
            pincode, 'CITY_' || CAST(s_nationkey AS STRING) AS city, district, state, latitude, longitude,
            h % 200000 AS population,
@@ -81,7 +92,7 @@ def _locality(d: Dialect) -> str:
 
 
 def _pin_locality(d: Dialect) -> str:
-    return "SELECT pincode, district, state, canonical_name AS locality FROM f_locality WHERE h % 3 = 0"
+    return "SELECT pincode, district, state, canonical_name AS locality FROM f_locality"
 
 
 def _census(d: Dialect) -> str:
@@ -114,7 +125,7 @@ def _record(d: Dialect) -> str:
     return f"""
     SELECT c_custkey AS record_id, 'job_' || CAST(c_custkey % 4 AS STRING) AS job_id, c_custkey AS row_index,
            c_name AS patient_id, true_name, true_pin,
-           'No ' || CAST(c_custkey AS STRING) || ', ' || {d.title('typed')} || ' Rd' AS line1,
+           'No ' || CAST(c_custkey AS STRING) || ', ' || ({d.title('typed')}) || ' Rd' AS line1,
            typed AS line2, '  Opp   ' || c_mktsegment AS landmark,
            CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN '9' || substr(true_pin, 2) ELSE true_pin END AS pincode,
            CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'CITTY' || substr(true_city, 5) ELSE true_city END AS city,
@@ -127,10 +138,9 @@ def _record(d: Dialect) -> str:
                       WHEN 1 THEN substr(canonical_name, 1, 2) || substr(canonical_name, 4)
                       WHEN 2 THEN substr(canonical_name, 1, 2) || substr(canonical_name, 2)
                       WHEN 3 THEN substr(canonical_name, 1, 4)
-                      ELSE upper(canonical_name) END AS typed
-          FROM {d.table('customer')} JOIN (
-                 SELECT slot, min(word) AS picked FROM f_word GROUP BY slot) AS p
-               ON slot = c_custkey JOIN f_locality ON word = picked) AS t"""
+                      ELSE upper(replace(canonical_name, 'ß', 'ss')) END AS typed
+          FROM (SELECT *, c_custkey % (SELECT count(*) FROM f_word) AS picked FROM {d.table('customer')}) AS c
+               LEFT JOIN f_word AS w ON number = picked LEFT JOIN f_locality AS l ON l.word = w.word) AS t"""
 
 
 def _processed(d: Dialect) -> str:
@@ -253,7 +263,8 @@ def _rect(d: Dialect) -> str:
 # name → (text, views it reads)
 VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "f_pin": (_pin, ()),
-    "f_word": (_word, ()),
+    "f_distinct_word": (_distinct_word, ()),
+    "f_word": (_word, ("f_distinct_word",)),
     "f_locality": (_locality, ("f_word", "f_pin")),
     "f_pin_locality": (_pin_locality, ("f_locality",)),
     "f_census": (_census, ("f_pin", "f_locality")),
@@ -267,13 +278,14 @@ VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
 }
 
 
-def _needed(names: tuple[str, ...]) -> list[str]:
+def needed(names: tuple[str, ...], stop: Sequence[str] = ()) -> list[str]:
+    """The named views and all they read, in order; what the views in ``stop`` read is not followed."""
     seen: set[str] = set()
 
     def visit(name: str) -> None:
         if name not in seen:
             seen.add(name)
-            for dep in VIEWS[name][1]:
+            for dep in () if name in stop else VIEWS[name][1]:
                 visit(dep)
 
     for n in names:
@@ -283,6 +295,6 @@ def _needed(names: tuple[str, ...]) -> list[str]:
 
 def with_views(d: Dialect, body: str, *names: str, **more: str) -> str:
     """A query with the named views (and further texts) as common table expressions."""
-    parts = [f"{n} AS ({VIEWS[n][0](d)})" for n in _needed(names)]
+    parts = [f"{n} AS ({VIEWS[n][0](d)})" for n in needed(names)]
     parts += [f"{n} AS ({text})" for n, text in more.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body
