@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-One pass turns each text into its set of distinct five-word shingles, its minima under ``BANDS * ROWS``
-hash functions, the low bits of those minima packed in bit planes, and one key per band. Equal sets
+One pass turns each text into its set of distinct five-word shingles, its minima under ``HASHES``
+hash functions, the low bits of those minima packed in bit planes, and one key per band of the first ones. Equal sets
 are one node from then on. Nodes that share a band key are candidates; the packed signatures
 estimate their similarity by bit counts, corrected for chance collisions, and pairs that may reach the
 limit are confirmed on their full sets.
@@ -26,12 +26,11 @@ SHINGLE = 5
 PERCENT = 75
 # A pair at the limit meets in no band with probability (1 - 0.75 ** 4) ** 48 = 1.2e-8.
 BANDS, ROWS = 48, 4
-BITS = 4
-# About 3.7 standard deviations of the estimate from 192 minima at a similarity of 0.75.
-MARGIN = 0.12
+HASHES, BITS = 512, 4
+# About 3.7 standard deviations of the estimate from 512 minima at a similarity of 0.75.
+MARGIN = 0.075
 
-_HASHES = BANDS * ROWS
-_PLANE_LONGS = _HASHES // 64
+_PLANE_LONGS = HASHES // 64
 _PLANES = [f"p{i}" for i in range(BITS * _PLANE_LONGS)]
 _SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, planes array<long>, keys array<long>"
 
@@ -41,10 +40,11 @@ def _odd_numbers(n: int, seed: int, kind: type) -> np.ndarray:
 
 
 _FACTORS = _odd_numbers(SHINGLE, 11, np.uint64)
-_A = _odd_numbers(_HASHES, 12, np.uint32)[:, None]
-_B = np.random.default_rng(13).integers(0, 2**32, _HASHES, dtype=np.uint32)[:, None]
+_A = _odd_numbers(HASHES, 12, np.uint32)
+_B = np.random.default_rng(13).integers(0, 2**32, HASHES, dtype=np.uint32)
 _KEY_FACTORS = _odd_numbers(ROWS, 14, np.uint64)
-_BLOCK = 1024
+# Shingles hashed at a time: the table of hashes stays in the processor's cache.
+_BLOCK = 64
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -67,10 +67,14 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def _minima(s: np.ndarray) -> np.ndarray:
-    low = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(_HASHES, 0xFFFFFFFF, np.uint32)
+    low = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    hashed = np.empty((_BLOCK, HASHES), np.uint32)
     for i in range(0, len(low), _BLOCK):
-        np.minimum(best, (_A * low[i: i + _BLOCK] + _B).min(axis=1), out=best)
+        some = hashed[: len(low) - i]
+        np.multiply(low[i: i + _BLOCK], _A, out=some)
+        np.add(some, _B, out=some)
+        np.minimum(best, some.min(axis=0), out=best)
     return best
 
 
@@ -78,7 +82,7 @@ def _signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bit planes of the minima's low bits, and one key per band."""
     mixed = mix64(_minima(s).astype(np.uint64))
     planes = [np.packbits(((mixed >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for b in range(BITS)]
-    keys = mix64((mixed.reshape(BANDS, ROWS) * _KEY_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    keys = mix64((mixed[: BANDS * ROWS].reshape(BANDS, ROWS) * _KEY_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     return np.concatenate(planes), keys.view(np.int64)
 
 
@@ -128,7 +132,7 @@ def estimated_similarity(a: str, b: str) -> Column:
             x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
             differ = x if differ is None else differ.bitwiseOR(x)
         unequal = unequal + F.bit_count(differ)
-    equal, chance = 1 - unequal / float(_HASHES), 2.0 ** -BITS
+    equal, chance = 1 - unequal / float(HASHES), 2.0 ** -BITS
     return (equal - chance) / (1 - chance)
 
 
