@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.get("planes", F.lit(i)).alias(p) for i, p in enumerate(_PLANES)]))
     planes = unique.select("node", "n", *_PLANES)
 
-    entries = unique.select("node", F.explode("keys").alias("key"))
+    entries = unique.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     members = shared_table(entries.join(buckets.drop("last"), "key"))
 
@@ -212,15 +212,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = shared_table(confirmed(stars, sets, percent))
     labels = components(edges)
 
-    held = shared_table(_labelled(members.select("key", "node"), labels))
+    held = shared_table(_labelled(members.select("key", "band", "node"), labels))
     largest = (held.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key")
                .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("several"))
                .filter("several > 1").drop("several"))
-    open_buckets = shared_table(held.join(largest, "key").join(planes, "node"))
+    open_buckets = shared_table(held.join(largest, "key").join(unique, "node"))
     a, b = open_buckets.alias("a"), open_buckets.alias("b")
     across = (F.col("a.component") != F.col("b.component")) & (F.col("a.component") != F.col("a.largest"))
     once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))
-    pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & across & once & _may_link("a", "b", percent))
+    # A pair counts in the first band it shares, where all its buckets are open.
+    earlier = F.arrays_overlap(F.slice("a.keys", F.lit(1), F.col("a.band")), F.slice("b.keys", F.lit(1), F.col("b.band")))
+    pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & across & once & _may_link("a", "b", percent) & ~earlier)
              .select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
     more = shared_table(confirmed(pairs, sets, percent))
     # A doc_id with several texts ties their nodes together.
