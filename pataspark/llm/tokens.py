@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pataspark.llm.common import CACHED_WORDS, shared_table
+from pataspark.llm.common import kept_in_worker, shared_table
 
 END_ID = 1
 # A block is closed once it holds this many ids; a longer document has a block of its own size.
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-_HEAD = struct.Struct("<4sIQQQ")
+# Pieces remembered per round by a worker.
+PIECES = 700_000
+_HEAD = "<4sIQQQ"
 _BLOCKS = "part int, block int, n_docs long, n_ids long, doc_ids array<long>, data binary"
 _ROWS = "part int, block int, place int, doc_id long, start_in_block long, n_tokens long, ids_crc32 long"
 
@@ -51,7 +53,7 @@ def write_block(lengths: np.ndarray, ids: np.ndarray) -> bytes:
     high[ones] = 1
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     return b"".join([
-        _HEAD.pack(b"EFT1", width, n, u, low), struct.pack("<Q", len(high)), _words64(lows.reshape(-1).astype(np.uint8)).tobytes(), _words64(high).tobytes(),
+        struct.pack(_HEAD, b"EFT1", width, n, u, low), struct.pack("<Q", len(high)), _words64(lows.reshape(-1).astype(np.uint8)).tobytes(), _words64(high).tobytes(),
         ones[::SAMPLE].astype("<u4").tobytes(), ids.astype("<u2" if width == 2 else "<u4").tobytes()])
 
 
@@ -59,11 +61,11 @@ class Block:
     """Read access to a block without unpacking its boundaries."""
 
     def __init__(self, data: bytes) -> None:
-        magic, width, self.n, self.u, self.low = _HEAD.unpack_from(data)
+        magic, width, self.n, self.u, self.low = struct.unpack_from(_HEAD, data)
         if magic != b"EFT1":
             raise ValueError("not a token block")
-        (n_high,) = struct.unpack_from("<Q", data, _HEAD.size)
-        at = _HEAD.size + 8
+        (n_high,) = struct.unpack_from("<Q", data, struct.calcsize(_HEAD))
+        at = struct.calcsize(_HEAD) + 8
 
         def part(count: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -110,28 +112,67 @@ class Block:
 
 
 class _Pieces(dict):
-    """Ids of a piece of text between blanks. The tokenizer never joins across white space, so pieces can be
-    encoded alone and remembered."""
+    """Ids of a piece of text between blanks.
+
+    The tokenizer lowers the case and never joins across white space or between a letter and a comma or full stop, so a
+    piece is put together from its word in lower case and its mark, and words are encoded alone. Pieces of the latest and of the
+    previous round are remembered; a round is bounded.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._previous: dict[str, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """Word and mark; the word is in lower case where that is plain ASCII and no special token."""
+        mark = piece[-1] if len(piece) > 1 and piece[-1] in ",." and piece[-2].isascii() and piece[-2].isalpha() else ""
+        word = piece[:-1] if mark else piece
+        return (word.lower() if word.isascii() and "<" not in word else word), mark
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > CACHED_WORDS:
+        if len(self) >= PIECES:
+            self._previous = dict(self)
             self.clear()
-            new = list(pieces)
-        for i in range(0, len(new), 20_000):
-            some = new[i: i + 20_000]
-            for piece, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = np.array(found.ids, np.uint32).tobytes()
+        old, new = self._previous, []
+        for p in pieces:
+            if p not in self:
+                if p in old:
+                    self[p] = old[p]
+                else:
+                    new.append((p, *self._parts(p)))
+        words = [w for w in {x for _, word, mark in new for x in (word, mark)} if w not in self]
+        self._encode([w for w in words if not w.isalpha()])
+        self._encode_letters([w for w in words if w.isalpha()])
+        for p, word, mark in new:
+            self[p] = self[word] + self[mark]
+
+    def _encode(self, words: list[str]) -> None:
+        for word, found in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, np.uint32).tobytes()
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Many words at a time: of letters alone, each ends in the one token that closes a word."""
+        for i in range(0, len(words), 1000):
+            some = words[i: i + 1000]
+            ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self._ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                self._encode(some)
+                continue
+            data = ids.tobytes()
+            for word, a, b in zip(some, [0, *ends], ends):
+                self[word] = data[a:b]
 
 
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """Function from texts to their ids, as little-endian unsigned 32-bit integers."""
-    known = _Pieces(path)
+    known = kept_in_worker(f"pieces of {path}", lambda: _Pieces(path))
 
     def encode(texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
