@@ -30,6 +30,7 @@ BLOCK_IDS = 1 << 20
 SAMPLE = 64
 # Pieces remembered per round by a worker.
 PIECES = 700_000
+_MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 _HEAD = "<4sIQQQ"
 _BLOCKS = "part int, block int, n_docs long, n_ids long, doc_ids array<long>, data binary"
 _ROWS = "part int, block int, place int, doc_id long, start_in_block long, n_tokens long, ids_crc32 long"
@@ -114,8 +115,8 @@ class Block:
 class _Pieces(dict):
     """Ids of a piece of text between blanks.
 
-    The tokenizer lowers the case and never joins across white space or between a letter and a comma or full stop, so a
-    piece is put together from its word in lower case and its mark, and words are encoded alone. Pieces of the latest and of the
+    The tokenizer lowers the case and never joins across white space or between a letter and a mark, so a
+    piece is put together from its word in lower case and the marks behind it, and these are encoded alone. Pieces of the latest and of the
     previous round are remembered; a round is bounded.
     """
 
@@ -130,10 +131,11 @@ class _Pieces(dict):
 
     @staticmethod
     def _parts(piece: str) -> tuple[str, str]:
-        """Word and mark; the word is in lower case where that is plain ASCII and no special token."""
-        mark = piece[-1] if len(piece) > 1 and piece[-1] in ",." and piece[-2].isascii() and piece[-2].isalpha() else ""
-        word = piece[:-1] if mark else piece
-        return (word.lower() if word.isascii() and "<" not in word else word), mark
+        """Word and the marks behind it; the word is in lower case where that is plain ASCII and no special token."""
+        word = piece.rstrip(_MARKS)
+        if not word or not word[-1].lower().isalpha():
+            word = piece
+        return (word.lower() if word.isascii() and "<" not in word else word), piece[len(word):]
 
     def learn(self, pieces: set[str]) -> None:
         if len(self) >= PIECES:
