@@ -2,6 +2,7 @@
 
 Consecutive lines with text are hashed three at a time, windows found twice or more anywhere are looked
 up, the first occurrence (smallest doc_id, then place) stays, and later ones are removed by merging the lines they cover.
+Both lookups are merge joins at every size: what they look up grows with the documents.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
 def covered_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """Per doc_id the places of all lines to remove, ascending."""
     repeated = shared_table(repeated_windows(docs, lines))
-    later = windows(docs, lines).join(repeated, ["w1", "w2"])
+    later = windows(docs, lines).join(repeated.hint("merge"), ["w1", "w2"])
     same = F.col("id").eqNullSafe(F.col("first.id"))
     # Lines of the first occurrence itself stay, also where a later one overlaps it.
     start = F.when(same, F.greatest("lo", F.col("first.hi") + 1)).otherwise(F.col("lo"))
@@ -64,7 +65,7 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     (null included) are one document: a window at the same place of both counts as one occurrence. A null text stays null.
     A text whose lines are all removed becomes empty. An empty table gives no rows. Columns named as results are replaced.
     """
-    places = shared_table(covered_lines(docs, lines)).alias("c")
+    places = shared_table(covered_lines(docs, lines)).alias("c").hint("merge")
     df = packed(docs, "doc_id", "text").join(places, F.col("_doc_id").eqNullSafe(F.col("c.id")), "left")
     own = F.split(F.coalesce("_text", F.lit("")), "\n")
     gone = F.filter(F.coalesce("places", F.array().cast("array<int>")), lambda p: p < F.size(own))
