@@ -112,6 +112,17 @@ def test_line_dedup_matches_brute_force(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    def text(name, n=6):
+        return "\n".join(f"{name} {i}" for i in range(n))
+    known, own, other = text("known"), text("own"), text("other")
+    rows = [(1, known, "a"), (None, known, "b"), (None, own, "c"), (7, known, "d"), (7, other, "e"), (7, other, "f"), (None, text("twice"), "g"), (None, text("twice"), "h")]
+    got = {r.mark: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, mark string")).collect()}
+    assert got["a"].text == known and got["b"].text == "" and got["d"].text == ""
+    assert got["c"].text == own and got["e"].text == got["f"].text == other
+    assert sorted([got["g"].text, got["h"].text]) == ["", text("twice")]
+
+
 def plain_repeated(text):
     w = text.split()
     seen = Counter(tuple(w[i: i + 8]) for i in range(len(w) - 7))
