@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pataspark.llm import decontaminate, minhash, mixing, sharding, toxicity
-from pataspark.llm.common import shared_table
+from pataspark.llm.common import shared_table, text_or_empty, words_of
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,20 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; of repeated rows, one."""
-    found = minhash.near_duplicates(docs)
-    kept = shared_table(found.filter("kept and doc_id is not null").select("doc_id").distinct())
-    with_id = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return with_id.union(docs.filter("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id (null last); of repeated rows, the least.
+
+    A document is a doc_id with one text, so different texts of one id are compared like those of different ids. Rows without
+    doc_id are grouped by their texts too; without words as well, they are like nothing and stay.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    stay = F.col("doc_id").isNull() & (F.size(words_of(text_or_empty())) == 0)
+    found = docs.filter(~stay).withColumn("_key", key)
+    ids = found.select("_key", "doc_id").distinct()
+    groups = minhash.near_duplicates(found.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
+    kept = shared_table(groups.join(ids, "_key").groupBy("component_id").agg(least.alias("least")).select("least._key"))
+    rows = found.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).join(kept, "_key", "left_semi")
+    return rows.select("row.*").union(docs.filter(stay))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

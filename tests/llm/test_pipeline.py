@@ -31,6 +31,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} <= at[2]
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark, tmp_path):
+    rng = random.Random(18)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a, "z"), (1, b, "y"), (2, b, "x"), (2, b, "w"), (3, c, "v"), (3, c, "u"), (None, a, "t"), (None, d, "s"), (None, d + " end", "r"), (None, None, "q"), (None, " ", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 7):
+        got = corpus_pipeline.one_of_each(spark, docs.repartition(n), str(tmp_path)).collect()
+        unnamed = [r.source for r in got if r.doc_id is None]
+        assert sorted((r.doc_id, r.source) for r in got if r.doc_id is not None) == [(1, "y"), (1, "z"), (3, "u")]
+        assert len(unnamed) == 3 and {"p", "q"} < set(unnamed) and set(unnamed) & {"r", "s"}
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
