@@ -73,6 +73,31 @@ NAMES = {
     "bsd": ("bsd license", "bsd style license", "berkeley software distribution license"),
 }
 
+# Label: short identifiers, too common as words to stand alone.
+SHORT = {
+    "agpl-3.0": ("agpl 3", "agpl"),
+    "lgpl-3.0": ("lgpl 3",),
+    "gpl-3.0": ("gpl 3",),
+    "gpl-2.0": ("gpl 2",),
+    "mit": ("mit", "expat", "x11"),
+    "isc": ("isc",),
+    "zlib": ("zlib libpng", "zlib"),
+    "artistic-2.0": ("artistic 2 0",),
+    "psf-2.0": ("psf 2 0", "python 2 0", "psf"),
+    "postgresql": ("postgresql",),
+    "openssl": ("openssl",),
+    "ofl-1.1": ("ofl",),
+    "cddl-1.0": ("cddl",),
+    "cpl-1.0": ("cpl",),
+    "eupl-1.2": ("eupl",),
+    "apache": ("apache",),
+    "lgpl": ("lgpl",),
+    "gpl": ("gpl",),
+    "mpl": ("mpl",),
+    "epl": ("epl",),
+    "bsd": ("bsd",),
+}
+
 # Statement forms: regular expression with the name as {n}, and score. Earlier forms rank higher.
 FORMS = (
     (r"spdx license identifier {n}", 1.0),
@@ -142,12 +167,16 @@ class Detection:
 
 
 def rules() -> list[Rule]:
-    """All rules in order of priority: sentences, then forms, each over all names."""
+    """All rules in order of priority: sentences, then forms, each over all names and then over the short ones."""
     made = [(label, word, text, score) for label, word, text, score in SENTENCES]
     for form, score in FORMS:
         for label, names in NAMES.items():
             for name in names:
                 made.append((label, max(name.split(), key=len), form.replace("{n}", name), score))
+        if form != "{n}":
+            for label, names in SHORT.items():
+                for name in names:
+                    made.append((label, max(name.split(), key=len), form.replace("{n}", name), score))
     return [Rule(label, word.encode(), f"(?<= ){text}(?= )".encode(), score, rank) for rank, (label, word, text, score) in enumerate(made)]
 
 

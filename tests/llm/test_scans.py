@@ -72,6 +72,21 @@ def test_license_rules_rank_and_suppress():
     assert licenses.detect("The permission of the author is reserved for gnu farmers.")[2] == []
 
 
+def test_short_identifiers_count_in_statements_only():
+    book = licenses.RuleBook()
+
+    def labels(text):
+        return [d.label for d in licenses.detect(text, book)[2]]
+    for label in licenses.NAMES.keys() | licenses.SHORT.keys():
+        for name in licenses.NAMES.get(label, ()) + licenses.SHORT.get(label, ()):
+            assert label in labels(f"// SPDX-License-Identifier: {name}"), name
+    for label, name in (("mit", "MIT"), ("isc", "ISC"), ("zlib", "Zlib"), ("artistic-2.0", "Artistic-2.0"), ("gpl-2.0", "GPL-2.0-or-later"), ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("bsd", "BSD"), ("boost-1.0", "BSL-1.0")):
+        for form in ("SPDX-License-Identifier: {}", "Licensed under {}.", "released under the {} license", '"license": "{}",'):
+            assert labels(form.format(name)) == [label], (form, name)
+    for text in ("She studied at MIT.", "the apache helicopter", "a boost of zlib speed", "license is granted to gpl readers"):
+        assert labels(text) == []
+
+
 def plain_suppressed(found):
     kept = []
     for d in sorted(found, key=lambda d: (d.rank, d.first, -d.last)):
