@@ -40,11 +40,15 @@ _TOKEN = re.compile(r"""
   | (?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)
   | (?P<op>:=|=>|==|!=|<=|>=|[:=+,;(){}\[\]])
   | (?P<comment>\#[^\n]*|//[^\n]*)
+  | (?P<skip>\\\r?\n)
+  | (?P<nl>\n)
   | (?P<other>[^\s"'`A-Za-z_$:=+,;(){}\[\]#/]+|.)
 """, re.X)
 _BARE = re.compile(r"[^\s\"'`#;,(){}\[\]]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "salt", "dsn", "cookie", "jwt", "signature")
+# A text without any of these has no sensitive name.
+_HINTS = tuple(w for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE))
+_SETS = (":", "=", ":=", "=>")
 
 Span = tuple[str, int, int]
 
@@ -74,7 +78,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """From 0 to 1: long, mixed and varied literals look like secrets; words and placeholders do not."""
-    if len(value) < 6 or len(value) > 4096 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -82,38 +86,90 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.55 + 0.15 * kinds)
 
 
-def _pairs(line: str, at: int) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(target, terms) of the assignments in one line; a term is (kind, value, start, end)."""
-    tokens = [(m.lastgroup, m[0], at + m.start(), at + m.end()) for m in _TOKEN.finditer(line) if not m[0].isspace()]
+def _indent(text: str, at: int) -> int:
+    line = text[text.rfind("\n", 0, at) + 1:at]
+    return len(line) - len(line.lstrip())
+
+
+def _pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
+    """(target, terms) of the assignments of a text; a term is (kind, value, start, end).
+
+    A value may stand on a later line than its name, in parentheses, or go on after a ``+``. A line break ends it otherwise.
+    """
+    tokens = [(m.lastgroup, m[0], *m.span()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip" and (m[0] == "\n" or not m[0].isspace())]
+    n = len(tokens)
+
+    def past(j: int) -> int:
+        while j < n and tokens[j][0] in ("nl", "comment"):
+            j += 1
+        return j
+
+    def sets(j: int) -> bool:
+        return j < n and tokens[j][1] in _SETS
+
     i = 0
-    while i + 1 < len(tokens):
-        kind, value, _, _ = tokens[i]
-        if kind not in ("text", "name") or tokens[i + 1][1] not in (":", "=", ":=", "=>"):
+    while i < n:
+        kind, value, start, _ = tokens[i]
+        k = past(i + 1) if kind in ("text", "name") else n
+        if not sets(k):
             i += 1
             continue
-        target, j = (value[1:-1] if kind == "text" else value), i + 2
-        if tokens[i + 1][1] == ":" and j + 1 < len(tokens) and tokens[j][0] == "name" and tokens[j + 1][1] == "=":
+        target, j = (value[1:-1] if kind == "text" else value), k + 1
+        if tokens[k][1] == ":" and j + 1 < n and tokens[j][0] == "name" and tokens[j + 1][1] == "=":
             j += 2  # name: type = value
-        if tokens[i + 1][1] in (":", "=") and kind == "name" and j < len(tokens) and tokens[j][0] != "text":
-            bare = _BARE.match(line, tokens[j][2] - at)
-            tail = line[bare.end():].strip() if bare else "-"
-            if bare and (not tail or tail[0] == "#"):  # a value without quotes, alone to the end of the line
-                yield target, [("bare", bare[0], at + bare.start(), at + bare.end())]
-                return
-        terms, good = [], True
-        while j < len(tokens) and tokens[j][0] in ("text", "name"):
-            terms.append(tokens[j])
-            if j + 1 < len(tokens) and tokens[j + 1][1] == "+":
-                j += 2
+        first = past(j)
+        if kind == "name" and j < n and tokens[j][1] in ("|", ">", "|-", ">-", "|+", ">+"):
+            first = past(j + 1) if j + 1 < n and tokens[j + 1][0] == "nl" else first
+        broken = first > j
+        if tokens[k][1] in (":", "=") and kind == "name" and first < n and tokens[first][0] != "text":
+            at = tokens[first][2]
+            stop = end if (end := text.find("\n", at)) >= 0 else len(text)
+            bare = _BARE.match(text, at, stop)
+            tail = text[bare.end():stop].strip() if bare else "-"
+            # On a later line it is a value only if indented, and not a pair itself.
+            own = not broken or (_indent(text, at) > _indent(text, start) and bare and not re.search(r":$|[:=][^=]", bare[0]))
+            if bare and own and (not tail or tail[0] == "#"):  # a value without quotes, alone to the end of the line
+                yield target, [("bare", bare[0], at, bare.end())]
+                while i < n and tokens[i][2] < stop:
+                    i += 1
                 continue
+        j, depth = first, 0
+        while j < n and tokens[j][1] == "(":
+            j, depth = past(j + 1), depth + 1
+        if j < n and (quote := text[tokens[j][2]:tokens[j][2] + 3]) in ('"""', "'''"):
+            at = tokens[j][2] + 3
+            close = text.find(quote, at)
+            if close >= 0:  # what stands inside is looked at as well
+                inner = text[at:close]
+                at += len(inner) - len(inner.lstrip())
+                yield target, [("triple", inner.strip(), at, at + len(inner.strip()))]
+                i = k + 1
+                continue
+        if (broken or depth) and sets(past(j + 1)):  # the next pair
+            yield target, []
+            i = k + 1
+            continue
+        terms, good, ended = [], True, False
+        while j < n and tokens[j][0] in ("text", "name"):
+            terms.append(tokens[j])
             j += 1
+            m = past(j)
+            if m < n and tokens[m][1] == "+":
+                v = past(m + 1)
+                across = m > j or v > m + 1
+                if v < n and tokens[v][0] in ("text", "name") and not (across and sets(past(v + 1))):
+                    j = v
+                    continue
+                ended = across or v >= n
+                good = ended
+            elif depth and tokens[j - 1][0] == "text" and m < n and tokens[m][0] == "text":
+                j = m  # neighbours in parentheses are one literal
+                continue
             break
-        else:
-            good = False
-        if j < len(tokens) and tokens[j][1] not in (",", ";", "}", ")", "]") and tokens[j][0] != "comment":
+        if not ended and j < n and tokens[j][1] not in (",", ";", "}", ")", "]") and tokens[j][0] not in ("comment", "nl"):
             good = False
         yield target, terms if good else []
-        i = max(j, i + 2) if good else i + 1
+        i = max(j, k + 1) if good and terms else i + 1
 
 
 def literal_spans(text: str) -> list[Span]:
@@ -125,29 +181,27 @@ def literal_spans(text: str) -> list[Span]:
         return []
     known: dict[str, list[tuple[str, int, int]]] = {}
     found: set[tuple[int, int]] = set()
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for target, terms in _pairs(line, at):
-                pieces: list[tuple[str, int, int]] | None = [] if terms else None
-                for kind, value, start, end in terms:
-                    if kind == "text":
-                        pieces.append((value[1:-1], start + 1, end - 1))
-                    elif kind == "bare" and value not in known:
-                        pieces.append((value, start, end))
-                    elif value in known:
-                        pieces += known[value]
-                    else:
-                        pieces = None
-                        break
-                if not pieces:
-                    known.pop(target, None)
-                    continue
-                known[target] = pieces = list(dict.fromkeys(pieces))  # a literal counts once, so chains stay short
-                score = name_score(target)
-                if score and score * literal_score("".join(v for v, _, _ in pieces)) >= LIMIT:
-                    found |= {(s, e) for _, s, e in pieces if e > s}
-        at += len(line) + 1
+    for target, terms in _pairs(text):
+        pieces: list[tuple[str, int, int]] | None = [] if terms else None
+        for kind, value, start, end in terms:
+            if kind == "text":
+                pieces.append((value[1:-1], start + 1, end - 1))
+            elif kind == "triple":
+                pieces.append(("".join(x.strip() for x in value.split("\n")), start, end))
+            elif kind == "bare" and value not in known:
+                pieces.append((value, start, end))
+            elif value in known:
+                pieces += known[value]
+            else:
+                pieces = None
+                break
+        if not pieces:
+            known.pop(target, None)
+            continue
+        known[target] = pieces = list(dict.fromkeys(pieces))  # a literal counts once, so chains stay short
+        score = name_score(target)
+        if score and score * literal_score("".join(v for v, _, _ in pieces)) >= LIMIT:
+            found |= {(s, e) for _, s, e in pieces if e > s}
     return [("literal", s, e) for s, e in sorted(found)]
 
 

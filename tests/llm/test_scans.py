@@ -40,6 +40,30 @@ def test_lexer_follows_constants_and_leaves_prose():
         assert secrets.literal_spans(clean) == []
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("API_KEY_X = (\n  'Xk29dLq0zPwM'\n)", ["Xk29dLq0zPwM"]),
+    ("client_pwd = 'Xk29dLq0' +\n  'zPwM77aa'\nx = 1", ["Xk29dLq0", "zPwM77aa"]),
+    ("client_pwd = 'Xk29dLq0' \\\n  + 'zPwM77aa'", ["Xk29dLq0", "zPwM77aa"]),
+    ("client_pwd = ('Xk29dLq0'\n  'zPwM77aa')", ["Xk29dLq0", "zPwM77aa"]),
+    ('{"client_pwd":\n  "Xk29dLq0zPwM",\n "a":\n "b"}', ["Xk29dLq0zPwM"]),
+    ("client_pwd:\n  Xk29dLq0zPwM\nuser: bob", ["Xk29dLq0zPwM"]),
+    ('client_pwd = """\nXk29dLq0\nzPwM77aa\n"""', ["Xk29dLq0\nzPwM77aa"]),
+    ("encryption = 'Xk29dLq0zPwM'", ["Xk29dLq0zPwM"]),
+    ("jwt = '" + "Xk29dLq0zPwM" * 400 + "'", ["Xk29dLq0zPwM" * 400]),
+    ("block {\n  client_pwd = 'Xk29dLq0zPwM'\n  user = 'bob'\n}", ["Xk29dLq0zPwM"]),
+    ("auth:\n  user: bobby9X\n  pwd: Xk29dLq0zPwM", ["Xk29dLq0zPwM"]),
+    ("+client_pwd = 'Xk29dLq0zPwM'\n+other = 'Zk29dLq0zPwM'", ["Xk29dLq0zPwM"]),
+])
+def test_lexer_follows_values_over_lines(text, want):
+    assert [text[s:e] for _, s, e in secrets.literal_spans(text)] == want
+
+
+def test_every_sensitive_name_passes_the_gate():
+    for name in secrets.SENSITIVE:
+        assert any(h in name for h in secrets._HINTS)
+        assert secrets.literal_spans(f"{name} = 'Xk29dLq0zPwM#Yt71'"), name
+
+
 def test_all_base_spans_stay():
     text = 'password = "Xk29dLq0zPwM"\nclient_pwd = "Ak29dLq0zPwM"'
     base, spans = secrets.all_spans(text)
