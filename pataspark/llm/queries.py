@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, and their SQL twins where SQL can express them."""
+"""The operators as registered queries over whole tables, and their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pataspark.llm import decontaminate, licenses, line_dedup, minhash, mixing, quality_rules, secrets, sharding, tokens, toxicity
+from pataspark.llm import decontaminate, embedding_links, filter_audit, licenses, line_dedup, minhash, mixing, quality_rules, secrets, sharding, tokens, toxicity, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -95,9 +95,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of all filter orders per language, with the Shapley value of the step's filter."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of close vectors of the same label, and component, of every vector."""
+    return embedding_links.linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_license_scan, op5_token_ids, op6_source_mixing, op7_sharding,
-    op8_near_duplicates, op9_decontamination, op10_toxicity)}
+    op8_near_duplicates, op9_decontamination, op10_toxicity, op11_filter_audit, op12_embedding_whitening, op13_embedding_links)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')"
 
@@ -165,4 +180,25 @@ WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
   c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op6_source_mixing": _OP6, "op8_near_duplicates": _OP8}
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+  m AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+  f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {{
+            'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+            'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+            'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)}} AS fails
+        FROM d LEFT JOIN m USING (doc_id)),
+  g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY part, fails),
+  o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) AS u WHERE NOT contains(filter_order, x)),
+  st AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[:step - 1], '') AS before
+         FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5) AS u),
+  x AS (SELECT part, filter_order, step, own, n, n_good, n_toxic, fails[own] AS failing, len(list_filter(before, lambda b: b <> '' AND fails[b])) > 0 AS gone,
+               len(list_filter(map_values(fails), lambda b: b)) AS n_fails FROM g, st),
+  r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+               coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant, coalesce(sum(n) FILTER (failing AND n_fails = 1), 0) AS unique_fails,
+               coalesce(sum(n_good) FILTER (NOT gone AND failing), 0) AS good_lost, coalesce(sum(n_toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op6_source_mixing": _OP6, "op8_near_duplicates": _OP8, "op11_filter_audit": _OP11}
