@@ -6,9 +6,10 @@ are one node from then on. Nodes that share a band key are candidates; the packe
 estimate their similarity by bit counts, corrected for chance collisions, and pairs that may reach the
 limit are confirmed on their full sets.
 
-Pairs are never emitted for a whole bucket. First each member meets only the bucket's
-smallest node. Then only buckets that still hold several components are looked at
-again, and only pairs across components that pass the estimate leave the join.
+Pairs are never emitted for a whole bucket. In a few rounds each member meets only the bucket's
+hub, the member that shares buckets with most others, and linked ones become one component; buckets of one component
+are done. Only in buckets that still hold several components, pairs across components that pass the
+estimate leave the join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 48, 4
 HASHES, BITS = 512, 4
 # About 3.7 standard deviations of the estimate from 512 minima at a similarity of 0.75.
 MARGIN = 0.075
+# Rounds in which a bucket's members meet one member only, before the pairs that are still open.
+HUB_ROUNDS = 3
 
 _PLANE_LONGS = HASHES // 64
 _PLANES = [f"p{i}" for i in range(BITS * _PLANE_LONGS)]
@@ -86,6 +89,12 @@ def _signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(planes), keys.view(np.int64)
 
 
+def _told_apart(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     none = np.empty(0, np.int64)
@@ -95,8 +104,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes)
                 sizes.append(len(s))
-                first.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                one, two = _told_apart(s)
+                first.append(one)
+                second.append(two)
                 p, k = _signature(s) if len(s) else (none, none)
                 planes.append(p)
                 keys.append(k)
@@ -109,8 +119,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        sets = [shingle_set(t, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        sets = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+        told = [_told_apart(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([
+            batch.column("node"), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int64()),
+            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s1", "s2", "shingles"])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -142,12 +155,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets are similar enough."""
+    """Pairs (u, v, more) whose full shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b")).cast("long")
     return (pairs.join(left, "u").join(right, "v")
-            .filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"))
+            .filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select(*pairs.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,9 +189,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return (df.join(labels, "node", "left")
-            .withColumn("component", F.coalesce("component", "node")))
+def _relabelled(df: DataFrame, changes: list[DataFrame]) -> DataFrame:
+    """The column ``component`` after each of the changes (node, component), which hold only what has changed."""
+    for change in changes:
+        new = change.select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        df = df.join(new, "component", "left").withColumn("component", F.coalesce("_new", "component")).drop("_new")
+    return df
+
+
+def _open(held: DataFrame) -> DataFrame:
+    """Members of buckets with several components: also rows in all, rows of their own component, and the largest component."""
+    own = held.groupBy("key", "component").agg(F.count("*").alias("own"))
+    several = (own.groupBy("key").agg(F.sum("own").alias("total"), F.max_by("component", F.struct("own", "component")).alias("largest"), F.count("*").alias("n"))
+               .filter("n > 1").drop("n"))
+    return held.join(several, "key").join(own, ["key", "component"])
+
+
+def _hubs(met: DataFrame) -> DataFrame:
+    """For each bucket the member that shares buckets with most nodes of other components (key, hub).
+
+    The common origin of a group shares more buckets with its copies than these with each other, whatever the ids. Members that were
+    hubs of the bucket before, and those of its largest component, stand back.
+    """
+    mates = met.groupBy("node").agg(F.sum(F.col("total") - F.col("own")).alias("mates"))
+    rest = met.filter(~F.col("used") & (F.col("largest").isNull() | (F.col("component") != F.col("largest"))))
+    return rest.join(mates, "node").groupBy("key").agg(F.max_by(F.struct("node", "component"), F.struct("mates", F.xxhash64("node"))).alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -199,40 +234,45 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     planes = unique.select("node", "n", *_PLANES)
 
     entries = unique.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    members = shared_table(entries.join(buckets.drop("last"), "key"))
+    shared_keys = entries.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1")
+    members = shared_table(entries.join(shared_keys, "key"))
 
     sought = shared_table(members.select("node").distinct())
     text_rows = _documents(docs).withColumnRenamed("doc_id", "node").join(sought, "node", "left_semi")
-    sets = shared_table(text_rows.mapInArrow(_sets, "node long, shingles array<long>"))
-
-    stars = members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = (stars.join(planes.alias("a"), F.col("u") == F.col("a.node")).join(planes.alias("b"), F.col("v") == F.col("b.node"))
-             .filter(_may_link("a", "b", percent)).select("u", "v").distinct())
-    edges = shared_table(confirmed(stars, sets, percent))
-    labels = components(edges)
-
-    held = shared_table(_labelled(members.select("key", "band", "node"), labels))
-    largest = (held.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key")
-               .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("several"))
-               .filter("several > 1").drop("several"))
-    open_buckets = shared_table(held.join(largest, "key").join(unique, "node"))
+    # One set per node and text, however often its row is repeated.
+    sets = shared_table(text_rows.mapInArrow(_sets, "node long, s1 long, s2 long, shingles array<long>").dropDuplicates(["node", "s1", "s2"]))
+
+    met = members.withColumns({"own": F.lit(1), "largest": F.lit(None).cast("long"), "component": F.col("node"), "used": F.lit(False)})
+    merged = []
+    for _ in range(HUB_ROUNDS):
+        hubs = _hubs(met)
+        held = shared_table(met.join(hubs, "key", "left").select(
+            "key", "band", "node", "component", (F.col("used") | F.coalesce(F.col("node") == F.col("hub.node"), F.lit(False))).alias("used"), "hub"))
+        stars = (held.filter(F.col("component") != F.col("hub.component"))
+                 .groupBy(F.col("node").alias("u"), F.col("hub.node").alias("v")).agg(F.first("component").alias("cu"), F.first("hub.component").alias("cv")))
+        stars = (stars.join(planes.alias("a"), F.col("u") == F.col("a.node")).join(planes.alias("b"), F.col("v") == F.col("b.node"))
+                 .filter(_may_link("a", "b", percent)).select("u", "v", "cu", "cv").distinct())
+        merged.append(components(confirmed(stars, sets, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
+        held = _relabelled(held.drop("hub"), merged[-1:])
+        met = shared_table(_open(held))
+
+    open_buckets = shared_table(met.select("key", "band", "node", "component", "largest").join(unique, "node"))
     a, b = open_buckets.alias("a"), open_buckets.alias("b")
     across = (F.col("a.component") != F.col("b.component")) & (F.col("a.component") != F.col("a.largest"))
     once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))
     # A pair counts in the first band it shares, where all its buckets are open.
     earlier = F.arrays_overlap(F.slice("a.keys", F.lit(1), F.col("a.band")), F.slice("b.keys", F.lit(1), F.col("b.band")))
     pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & across & once & _may_link("a", "b", percent) & ~earlier)
-             .select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
-    more = shared_table(confirmed(pairs, sets, percent))
+             .groupBy(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+             .agg(F.min(F.least("a.component", "b.component")).alias("cu"), F.max(F.greatest("a.component", "b.component")).alias("cv")))
+    merged.append(components(confirmed(pairs, sets, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
     # A doc_id with several texts ties their nodes together.
-    placed = shared_table(signed.filter(~alone).select("doc_id", "s1", "s2", "n_shingles")
-                          .join(nodes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "node"))
-    again = placed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last")
-    ties = placed.join(again, "doc_id").select(F.col("node").alias("u"), "v")
-    labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(ties))
+    placed = shared_table(_relabelled(signed.filter(~alone).select("doc_id", "s1", "s2", "n_shingles")
+                                      .join(nodes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", F.col("node").alias("component")), merged))
+    again = placed.groupBy("doc_id").agg(F.min("component").alias("v"), F.max("component").alias("last")).filter("v < last")
+    ties = components(placed.join(again, "doc_id").select(F.col("component").alias("u"), "v"))
 
-    of_rows = _labelled(placed, labels).select("doc_id", "n_shingles", "component")
+    of_rows = _relabelled(placed, [ties]).select("doc_id", "n_shingles", "component")
     rest = signed.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return of_rows.union(rest).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id"),
