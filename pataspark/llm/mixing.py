@@ -58,7 +58,8 @@ def _sized(docs: DataFrame) -> DataFrame:
     df = packed(docs, "doc_id", "text", "source").withColumn("_size", F.size(words_of(text)).cast("long"))
     name = F.concat_ws(":", F.coalesce(F.col("_doc_id").cast("string"), F.lit("")), F.md5(text))
     return (df.withColumn("_hash", F.md5(name)).withColumn("_class", size_class(F.col("_size")))
-            .withColumn("_cell", F.substring("_hash", 1, CELL_BITS // 4)).drop("_text", "_doc_id"))
+            .withColumn("_cell", F.substring("_hash", 1, CELL_BITS // 4))
+            .withColumns({"_name": F.coalesce("_source", F.lit("")), "_unnamed": F.col("_source").isNull()}).drop("_text", "_doc_id"))
 
 
 def planned_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
@@ -75,14 +76,14 @@ def planned_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repe
     earlier = Window.partitionBy("_source").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("earlier", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).alias("c").join(
         targets.alias("t"), F.col("c._source").eqNullSafe(F.col("t._source"))).select(
-        F.col("c._source").alias("_of"), "_class", "_cell", "source_size", "target", "units",
+        F.coalesce("c._source", F.lit("")).alias("_name"), F.col("c._source").isNull().alias("_unnamed"), "_class", "_cell", "source_size", "target", "units",
         (offset_of("c._source", seed) + F.col("earlier") * F.col("units")).alias("start"))
-    cells = shared_table(cells).alias("c")
-    df = sized.alias("d").join(
-        cells, F.col("d._source").eqNullSafe(F.col("c._of")) & (F.col("d._class") == F.col("c._class"))
-        & (F.col("d._cell") == F.col("c._cell"))).select("_row", "_size", "_source", "d._class", "d._cell", "_hash", "source_size", "target", "units", "start")
-    inside = Window.partitionBy("_source", "_class", "_cell").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("start") + F.sum("units").over(inside)
+    # The window and the join have the same keys, none of them null, so whole rows are shuffled once.
+    keys = ["_name", "_unnamed", "_class", "_cell"]
+    inside = Window.partitionBy(*keys).orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.select("_row", "_size", *keys, F.count("*").over(inside).alias("_place"))
+    df = placed.join(shared_table(cells), keys)
+    reached = F.col("start") + F.col("units") * F.col("_place")
     df = df.withColumn("_reached", reached)
     return df.select("_row", "_size", "source_size", "target", (
         F.shiftright("_reached", UNIT_BITS) - F.shiftright(F.col("_reached") - F.col("units"), UNIT_BITS)).alias("copies"))
