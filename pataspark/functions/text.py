@@ -34,7 +34,9 @@ ORDINAL_NOUNS = ("Block", "Phase", "Stage", "Sector", "Cross", "Main")
 ROMAN_NUMERALS = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
 
 PIN_FORMAT = "^[1-8][0-9]{5}$"
-PIN_IN_TEXT = r"\b[1-8][0-9]{5}\b"
+# A word ends at anything that is no letter, digit or underscore of any script; what \b means depends on the Java version.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+PIN_IN_TEXT = rf"{WORD_START}[1-8][0-9]{{5}}{WORD_END}"
 DEVANAGARI = "[\\u0900-\\u097F]"
 
 
@@ -49,7 +51,7 @@ def clean_whitespace(c: Column) -> Column:
 
 def expand_abbreviations(c: Column, rules: Iterable[tuple[str, str]] = NORMALIZE_ABBREVIATIONS) -> Column:
     for short, full in rules:
-        c = F.regexp_replace(c, rf"(?i)\b{short}\b", full)
+        c = F.regexp_replace(c, rf"(?i){WORD_START}{short}{WORD_END}", full)
     return c
 
 
@@ -61,13 +63,13 @@ def title_case(c: Column, acronyms: Iterable[str] = ACRONYMS) -> Column:
     """``initcap`` with the listed acronyms put back in capitals."""
     c = F.initcap(c)
     for word in acronyms:
-        c = F.regexp_replace(c, rf"\b{word.capitalize()}\b", word)
+        c = F.regexp_replace(c, rf"{WORD_START}{word.capitalize()}{WORD_END}", word)
     return c
 
 
 def drop_noise_words(c: Column, words: Iterable[str] = NOISE_WORDS) -> Column:
     longest_first = sorted(words, key=len, reverse=True)
-    return clean_whitespace(F.regexp_replace(c, rf"(?i)\b({'|'.join(longest_first)})\b", ""))
+    return clean_whitespace(F.regexp_replace(c, rf"(?i){WORD_START}({'|'.join(longest_first)}){WORD_END}", ""))
 
 
 def last_pin(c: Column) -> Column:
@@ -107,7 +109,7 @@ def roman_to_ordinal(c: Column) -> Column:
     """'IV Block' → '4th Block'."""
     nouns = "|".join(ORDINAL_NOUNS)
     for n, roman in enumerate(ROMAN_NUMERALS, 1):
-        c = F.regexp_replace(c, rf"(?i)\b{roman}\s+({nouns})\b", f"{_ordinal(n)} $1")
+        c = F.regexp_replace(c, rf"(?i){WORD_START}{roman}\s+({nouns}){WORD_END}", f"{_ordinal(n)} $1")
     return c
 
 
@@ -115,7 +117,7 @@ def ordinal_to_roman(c: Column) -> Column:
     """'4th Block' → 'IV Block'."""
     nouns = "|".join(ORDINAL_NOUNS)
     for n, roman in enumerate(ROMAN_NUMERALS, 1):
-        c = F.regexp_replace(c, rf"(?i)\b{_ordinal(n)}\s+({nouns})\b", f"{roman} $1")
+        c = F.regexp_replace(c, rf"(?i){WORD_START}{_ordinal(n)}\s+({nouns}){WORD_END}", f"{roman} $1")
     return c
 
 

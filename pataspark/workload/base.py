@@ -22,6 +22,30 @@ def oracle(body: str, *views: str, **more: str) -> str:
     return with_views(DUCK, body, *views, **more)
 
 
+def duck_token_parts(rows: str, columns: str) -> str:
+    """SQL that adds to rows with texts a and b what both share, and what only one has: distinct tokens in order, joined (i, x, y)."""
+    def tokens(c: str) -> str:
+        return f"list_sort(list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '')))"
+    return f"""
+    SELECT {columns}, array_to_string(list_filter(ta, lambda t: list_contains(tb, t)), ' ') AS i,
+           array_to_string(list_filter(ta, lambda t: NOT list_contains(tb, t)), ' ') AS x, array_to_string(list_filter(tb, lambda t: NOT list_contains(ta, t)), ' ') AS y
+    FROM (SELECT *, {tokens('a')} AS ta, {tokens('b')} AS tb FROM ({rows}) AS pairs) AS parts"""
+
+
+# Length of the longest common subsequence of x and y: the usual table, row by row, as a fold.
+DUCK_SUBSEQUENCE = """list_last(list_reduce(string_split(y, ''), lambda r, c: list_transform(range(1, len(r) + 1), lambda j:
+    list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND x[k - 1] = c THEN r[k - 1] + 1 ELSE r[k] END))), list_transform(range(0, length(x) + 1), lambda n: 0)))"""
+
+
+def duck_token_set(a: str = "a", b: str = "b") -> str:
+    """SQL for the token-set ratio from the parts i, x and y, by its definition."""
+    def overlap(part: str) -> str:
+        return f"100 - 100 * (1 + length({part}))::DOUBLE / (2 * length(i) + 1 + length({part}))"
+    rest = f"100 - 100 * (length(x) + length(y) - 2 * {DUCK_SUBSEQUENCE})::DOUBLE / (2 * (length(i) + CASE WHEN i <> '' THEN 1 ELSE 0 END) + length(x) + length(y))"
+    return f"""CASE WHEN i = '' AND (x = '' OR y = '') THEN 0 WHEN x = '' OR y = '' THEN 100 WHEN i = '' THEN {rest}
+      ELSE greatest({rest}, {overlap('x')}, {overlap('y')}) END"""
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(source)`` under a name, with its SQL twin if there is one."""
     def register(fn: Callable[["Source"], DataFrame]):

@@ -815,7 +815,7 @@ def i1_failed(s: Source):
 
 
 @query("i2_incremental_enrichment", oracle(
-    "SELECT record_id, job_id, record_id % 3 AS chunk_index, upper(typed) AS enriched FROM f_record", "f_record"))
+    "SELECT record_id, job_id, record_id % 3 AS chunk_index, replace(upper(typed), 'ẞ', 'SS') AS enriched FROM f_record", "f_record"))
 def i2(s: Source):
     """A stream over files that each hold a part of every chunk, one file per micro-batch."""
     root = s.scratch()
