@@ -13,7 +13,7 @@ from pataspark.operators import (
 from pataspark.operators.common import cut_lineage, first_non_empty, last_row_wins, spread, top_k
 from pataspark.plans import address as plans, results
 from pataspark.streaming import progress
-from pataspark.workload.base import Source, oracle, query
+from pataspark.workload.base import duck_token_parts, duck_token_set, Source, oracle, query
 from pataspark.workload.queries_text import _ADDRESS_SQL, _duck_clean, _duck_expand, _one_byte
 
 ASOF = datetime(2001, 8, 1)
@@ -249,13 +249,34 @@ def e7(s: Source):
     return pincode.infer_pin(asked, s.directory).withColumnRenamed("inferred_pincode", "pincode")
 
 
-@query("c17_city_spelling")
+def _closest(asked: str, places: str, parent: str, threshold: int) -> str:
+    """SQL for the closest place of every distinct (query, parent), all pairs within the parent compared."""
+    pairs = f"""SELECT a.query, a.parent, p.place, a.query AS a, p.name AS b FROM asked AS a JOIN keyed AS p ON a.parent = p.parent"""
+    long_enough = f"i <> '' OR 100 * abs(length(x) - length(y)) <= {100 - threshold} * (length(x) + length(y))"
+    return f"""asked AS (SELECT DISTINCT lower(trim(query)) AS query, lower(trim(parent)) AS parent FROM ({asked}) AS q WHERE trim(query) <> ''),
+      keyed AS (SELECT lower(trim(place)) AS name, lower(trim(parent)) AS parent, min(place) AS place FROM ({places}) AS p WHERE trim(place) <> '' GROUP BY 1, 2),
+      parts AS ({duck_token_parts(pairs, "query, parent, place, b")}),
+      scored AS (SELECT *, {duck_token_set()} AS score FROM parts WHERE {long_enough}),
+      best AS (SELECT query, parent, place, score FROM scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY query, parent ORDER BY score DESC, b) = 1)
+    SELECT query, {{columns}} place AS corrected, score FROM best"""
+
+
+def _closest_twin(asked: str, places: str, threshold: int, columns: str, *views: str) -> str:
+    text = oracle("\x00", *views)
+    return text.replace("\x00", ", " + _closest(asked, places, "parent", threshold).format(columns=columns))
+
+
+@query("c17_city_spelling", _closest_twin(
+    "SELECT city AS query, '' AS parent FROM f_record", "SELECT village_name AS place, '' AS parent FROM f_census WHERE level IN ('City', 'Town')",
+    spelling.CITY_THRESHOLD, "", "f_record", "f_census"))
 def c17(s: Source):
     cities = s.census.filter("level IN ('City', 'Town')").select(F.col("village_name").alias("place"))
     return spelling.correct_names(s.records.select(F.col("city").alias("query")), cities, spelling.CITY_THRESHOLD)
 
 
-@query("c17_district_spelling")
+@query("c17_district_spelling", _closest_twin(
+    "SELECT district || 'x' AS query, state AS parent FROM f_record WHERE trim(state) <> ''", "SELECT DISTINCT district AS place, state AS parent FROM f_pin",
+    spelling.DISTRICT_THRESHOLD, "parent AS state,", "f_record", "f_pin"))
 def c17_district(s: Source):
     asked = s.view("f_record").select(F.regexp_replace("true_pin", "^.*$", "").alias("_"), "district", "state")
     typed = asked.select(F.concat(F.col("district"), F.lit("x")).alias("query"), "state")
@@ -288,8 +309,8 @@ _PARSE_SQL = rf"""
                  arg_max(value, position) FILTER (label = 'state') AS state
           FROM (SELECT record_id, address, position, CASE WHEN label = 'house_number' THEN house ELSE part END AS value, label FROM (
                 SELECT t.*, CASE WHEN lower(part) = 'india' THEN 'country' WHEN regexp_matches(part, '\b[1-8][0-9]{{5}}\b') THEN 'pincode'
-                     WHEN house <> '' THEN 'house_number' WHEN regexp_matches(part, '{parse.LANDMARK_PART}') THEN 'landmark'
-                     WHEN regexp_matches(part, '{parse.STREET_PART}') THEN 'street'
+                     WHEN house <> '' THEN 'house_number' WHEN regexp_matches(part, '(?i)^(?:{'|'.join(parse.NOISE_WORDS)})($|[^\p{{L}}\p{{N}}_])') THEN 'landmark'
+                     WHEN regexp_matches(part, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(parse.STREET_WORDS)})$') THEN 'street'
                      WHEN EXISTS (SELECT 1 FROM f_census AS c WHERE lower(c.state_name) = lower(part)) THEN 'state'
                      WHEN EXISTS (SELECT 1 FROM f_census AS c WHERE lower(c.district_name) = lower(part)) THEN 'district'
                      WHEN EXISTS (SELECT 1 FROM f_census AS c WHERE c.level IN ('Town', 'City') AND lower(c.village_name) = lower(part)) THEN 'city'
