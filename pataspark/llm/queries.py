@@ -70,10 +70,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document in a uniform shuffle with exact shard sizes."""
     text = F.coalesce("text", F.lit(""))
-    docs = _table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5("text").alias("text"))
-    return sharding.shuffled_into_shards(docs).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharding.shuffled_into_shards(_table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
