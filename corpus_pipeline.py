@@ -15,7 +15,10 @@ from pataspark.llm.common import shared_table, text_or_empty, words_of
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    Null and empty texts are scored like others; repeated rows are scored alike and all stay or go. An empty table gives no rows.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
     return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
 
@@ -38,18 +41,28 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold no passage and stay; repeated rows stay or go together. An empty table or benchmark removes nothing.
+    """
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
     return found.filter("not contaminated").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own, the last one. Documents without words are sampled like others. Equal rows are separate
+    documents, which of them is taken does not show. An empty table gives no rows.
+    """
     return mixing.mixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
+    """All documents with their shard and slot.
+
+    Null ids and texts are dealt like others; equal rows are separate rows. An empty table gives no rows.
+    """
     return sharding.shuffled_into_shards(docs)
 
 
