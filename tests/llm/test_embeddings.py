@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import struct
 
 import numpy as np
@@ -126,7 +127,7 @@ def test_factors_give_the_matrix_back():
 
 def _audit(rows, labels):
     """Every step of every order, document by document."""
-    split = [(r, [w for w in __import__("re").split("[ \t-\r]+", r[1] or "") if w]) for r in rows]
+    split = [(r, [w for w in re.split("[ \t-\r]+", r[1] or "") if w]) for r in rows]
     fails = []
     for r, w in split:
         text = r[1] or ""
