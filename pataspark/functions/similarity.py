@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -22,9 +23,53 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+# Pairs of texts up to this length are worked out together, one machine word a text; longer ones one by one.
+_WORD = 64
+
+
+def _codes(texts: np.ndarray) -> np.ndarray:
+    """Characters as numbers, a row per text, filled up with zeros."""
+    return texts.astype(np.str_).view(np.uint32).reshape(len(texts), -1)
+
+
+def _lcs_of_short(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Subsequence lengths of all pairs, one step per character of ``b``; pairs whose ``b`` has ended drop out."""
+    order = np.argsort(-lb, kind="stable")
+    own, other, left = _codes(a[order]), _codes(b[order]), -lb[order]
+    row = np.full(len(a), ~np.uint64(0))
+    for j in range(other.shape[1]):
+        k = int(np.searchsorted(left, -j))
+        if k == 0:
+            break
+        at = np.packbits(own[:k] == other[:k, j:j + 1], axis=1, bitorder="little")
+        mask = np.zeros((k, 8), np.uint8)
+        mask[:, :at.shape[1]] = at
+        now = row[:k]
+        hit = now & mask.view("<u8")[:, 0]
+        row[:k] = (now + hit) | (now - hit)
+    bits = np.unpackbits(row.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.empty(len(a), np.int32)
+    out[order] = ((bits == 0) & (np.arange(_WORD) < la[order][:, None])).sum(axis=1)
+    return out
+
+
+def _pairwise(a: pd.Series, b: pd.Series, short, long, dtype: str) -> pd.Series:
+    """``short`` over the arrays of all short pairs, ``long`` over each other pair; null beside a null."""
+    x, y = a.to_numpy(object), b.to_numpy(object)
+    known = ~(a.isna() | b.isna()).to_numpy()
+    la, lb = (np.fromiter((len(v) if k else 0 for v, k in zip(s, known)), np.int64, len(s)) for s in (x, y))
+    small = known & (la <= _WORD) & (lb <= _WORD)
+    out = pd.Series([None] * len(a), dtype=dtype)
+    if small.any():
+        out[small] = short(x[small], y[small], la[small], lb[small])
+    for i in np.flatnonzero(known & ~small):
+        out[i] = long(x[i], y[i])
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return _pairwise(a, b, _lcs_of_short, _lcs, "Int32")
 
 
 def tokens(c: Column) -> Column:
@@ -32,6 +77,22 @@ def tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")))
 
 
+def letter_bits(c: Column) -> Column:
+    """Which of 32 classes of characters occur in a text, and which occur twice, as the bits of one number.
+
+    Putting in or leaving out a character changes at most one bit.
+    """
+    def seen(bits: Column, ch: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(ch) % 32)
+        return bits.bitwiseOR(bit).bitwiseOR(F.shiftleft(bits.bitwiseAND(bit), 32))
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), seen)
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Least number of insertions and deletions between texts with these :func:`letter_bits`."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def token_parts(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """Shared tokens, tokens only in a, tokens only in b: each sorted and joined by a space.
 
@@ -114,11 +175,40 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def _in_order(codes: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The used characters of each row moved to its front, in their order."""
+    return np.take_along_axis(codes, np.argsort(~used, axis=1, kind="stable"), axis=1)
+
+
+def _jaro_winkler_of_short(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """All pairs at once, one step per character of ``a``: it takes the first free equal character within reach."""
+    own, other = _codes(a), _codes(b)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    places = np.arange(other.shape[1])
+    inside = places < lb[:, None]
+    used_own, used_other = np.zeros(own.shape, bool), np.zeros(other.shape, bool)
+    for i in range(own.shape[1]):
+        free = (other == own[:, i:i + 1]) & inside & ~used_other & (np.abs(places - i) <= reach) & (i < la)[:, None]
+        hit = np.flatnonzero(free.any(axis=1))
+        used_own[hit, i] = True
+        used_other[hit, free[hit].argmax(axis=1)] = True
+    m = used_own.sum(axis=1)
+    both = min(own.shape[1], other.shape[1])
+    unlike = _in_order(own, used_own)[:, :both] != _in_order(other, used_other)[:, :both]
+    swaps = (unlike & (np.arange(both) < m[:, None])).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / some) / 3, 0.0)
+    first = min(both, 4)
+    same = (own[:, :first] == other[:, :first]) & (np.arange(first) < np.minimum(la, lb)[:, None])
+    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    score = np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+    return np.where(a == b, np.where(la > 0, 1.0, 0.0), score)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity 0–1 (prefix weight 0.1, boost above 0.7)."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)],
-                     dtype="float64")
+    return _pairwise(a, b, _jaro_winkler_of_short, _jaro_winkler, "Float64")
 
 
 @F.pandas_udf(T.StringType())

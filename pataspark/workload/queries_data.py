@@ -208,7 +208,31 @@ def c7(s: Source):
     return match.edit_distance_matches(_texts(s), _names(s))
 
 
-@query("c8_token_set_match")
+# Every pair that shares a token or whose texts are close, by definition: no pair within 15 % of insertions and deletions is further apart in edits.
+_TOKEN_SET_SQL = f"""
+    tokened AS (SELECT query AS text, TRUE AS asked, 0 AS name_id FROM q UNION ALL SELECT name, FALSE, name_id FROM numbered),
+    split AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))) AS tokens FROM tokened),
+    sides AS (SELECT *, array_to_string(tokens, ' ') AS joined, unnest(tokens) AS token FROM split),
+    sharing AS (SELECT DISTINCT a.text AS query, b.text AS name, b.name_id FROM sides AS a JOIN sides AS b ON a.token = b.token WHERE a.asked AND NOT b.asked),
+    whole AS (SELECT DISTINCT text, asked, name_id, joined, {_one_byte('joined')} AS plain FROM sides),
+    near AS (SELECT a.text AS query, b.text AS name, b.name_id FROM whole AS a JOIN whole AS b ON a.asked AND NOT b.asked
+      AND 100 * abs(length(a.joined) - length(b.joined)) <= 15 * (length(a.joined) + length(b.joined))
+      AND 100 * levenshtein(a.plain, b.plain) <= 15 * (length(a.joined) + length(b.joined))),
+    pairs AS (SELECT * FROM sharing UNION SELECT * FROM near),
+    parts AS ({duck_token_parts('SELECT query, name, name_id, query AS a, name AS b FROM pairs', 'query, name, name_id')}),
+    possible AS (SELECT * FROM parts WHERE (i <> '' AND (x = '' OR y = '' OR 200 * length(i) >= 85 * (2 * length(i) + 1 + least(length(x), length(y)))))
+      OR 100 * levenshtein({_one_byte('x')}, {_one_byte('y')}) <= 15 * (2 * (length(i) + CASE WHEN i <> '' THEN 1 ELSE 0 END) + length(x) + length(y))),
+    scored AS (SELECT query, name, name_id, {duck_token_set()} AS base FROM possible)
+    SELECT query, name, round(base, 6) AS score FROM scored WHERE base >= 85 QUALIFY row_number() OVER (PARTITION BY query ORDER BY base DESC, name_id) <= 50"""
+
+
+def _token_set_twin() -> str:
+    numbered = "SELECT lower(trim(canonical_name)) AS name, min(id) AS name_id FROM f_locality WHERE trim(canonical_name) <> '' GROUP BY 1"
+    text = oracle("\x00", "f_record", "f_locality", q=_Q + " WHERE trim(typed) <> ''", numbered=numbered)
+    return text.replace("\x00", ", " + _TOKEN_SET_SQL)
+
+
+@query("c8_token_set_match", _token_set_twin())
 def c8(s: Source):
     found = match.token_set_matches(_texts(s), _names(s))
     return found.select("query", "name", F.round("base", 6).alias("score"))

@@ -1,6 +1,8 @@
 import hashlib
 import hmac
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,28 @@ def test_geometry(spark):
     got = {r.name: r["in"] for r in df.select("name", geo.point_in_polygon(F.col("x"), F.col("y"), geo.edges(F.col("rings"))).alias("in")).collect()}
     assert got == {"inside": True, "hole": False, "edge": False, "corner": False, "out": False}
     assert df.select(geo.polygon_area(F.col("rings")).alias("a")).first().a == 15.0
+
+
+def _pairs_of_texts():
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("abcdé नà\0😀") for _ in range(draw.choice((0, 1, 2, 3, 5, 8, 13, 20, 63, 64, 65, 90)))) for _ in range(600)]
+    other = [t[:-1] + "a" if draw.random() < 0.5 else draw.choice(texts) for t in texts]
+    return [*zip(texts, other), (None, "a"), ("a", None), (None, None), ("", "")]
+
+
+def test_batches_of_pairs_equal_single_pairs():
+    pairs = _pairs_of_texts()
+    a, b = (pd.Series(side, dtype=object) for side in zip(*pairs))
+    for together, alone in ((sim.lcs_length, sim._lcs), (sim.jaro_winkler, sim._jaro_winkler)):
+        want = [None if x is None or y is None else alone(x, y) for x, y in pairs]
+        assert [None if pd.isna(v) else v for v in together.func(a, b)] == want
+        assert len(together.func(a[:0], b[:0])) == 0
+
+
+def test_letter_bits_bound_the_distance(spark):
+    pairs = [p for p in _pairs_of_texts() if None not in p]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    apart = sim.letters_apart(sim.letter_bits(F.col("a")), sim.letter_bits(F.col("b")))
+    rows = df.select("a", "b", apart.alias("least")).collect()
+    assert all(r.least <= len(r.a) + len(r.b) - 2 * sim._lcs(r.a, r.b) for r in rows)
+    assert sum(r.least > 0 for r in rows) > len(rows) // 4
