@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pataspark.functions import text
+from pataspark.functions import scoring, text
 from pataspark.operators import (
     audit, census, dashboard, dictionary, jobs, lookups, match, parse, pincode, quality, spatial, spelling,
 )
@@ -208,37 +208,85 @@ def c7(s: Source):
     return match.edit_distance_matches(_texts(s), _names(s))
 
 
-# Every pair that shares a token or whose texts are close, by definition: no pair within 15 % of insertions and deletions is further apart in edits.
+def _reaching(pairs: str, threshold: int) -> str:
+    """SQL for (query, name, name_id, base): the pairs of a table at or above a threshold.
+
+    Subsequences are only counted where edits, of which no pair has more than insertions and deletions, leave it in reach.
+    """
+    apart = 100 - threshold
+    return f"""SELECT query, name, name_id, base FROM (SELECT query, name, name_id, {duck_token_set()} AS base
+      FROM ({duck_token_parts(f"SELECT query, name, name_id, query AS a, name AS b FROM {pairs}", "query, name, name_id")}) AS p
+      WHERE (i <> '' AND (x = '' OR y = '' OR 200 * length(i) >= {threshold} * (2 * length(i) + 1 + least(length(x), length(y)))))
+        OR 100 * levenshtein({_one_byte('x')}, {_one_byte('y')}) <= {apart} * (2 * (length(i) + CASE WHEN i <> '' THEN 1 ELSE 0 END) + length(x) + length(y))) AS s
+      WHERE base >= {threshold}"""
+
+
+# All pairs at or above the threshold by definition: they share a token, or their whole texts are close.
 _TOKEN_SET_SQL = f"""
     tokened AS (SELECT query AS text, TRUE AS asked, 0 AS name_id FROM q UNION ALL SELECT name, FALSE, name_id FROM numbered),
     split AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))) AS tokens FROM tokened),
     sides AS (SELECT *, array_to_string(tokens, ' ') AS joined, unnest(tokens) AS token FROM split),
     sharing AS (SELECT DISTINCT a.text AS query, b.text AS name, b.name_id FROM sides AS a JOIN sides AS b ON a.token = b.token WHERE a.asked AND NOT b.asked),
-    whole AS (SELECT DISTINCT text, asked, name_id, joined, {_one_byte('joined')} AS plain FROM sides),
+    whole AS MATERIALIZED (SELECT DISTINCT text, asked, name_id, joined, {_one_byte('joined')} AS plain FROM sides),
     near AS (SELECT a.text AS query, b.text AS name, b.name_id FROM whole AS a JOIN whole AS b ON a.asked AND NOT b.asked
-      AND 100 * abs(length(a.joined) - length(b.joined)) <= 15 * (length(a.joined) + length(b.joined))
-      AND 100 * levenshtein(a.plain, b.plain) <= 15 * (length(a.joined) + length(b.joined))),
-    pairs AS (SELECT * FROM sharing UNION SELECT * FROM near),
-    parts AS ({duck_token_parts('SELECT query, name, name_id, query AS a, name AS b FROM pairs', 'query, name, name_id')}),
-    possible AS (SELECT * FROM parts WHERE (i <> '' AND (x = '' OR y = '' OR 200 * length(i) >= 85 * (2 * length(i) + 1 + least(length(x), length(y)))))
-      OR 100 * levenshtein({_one_byte('x')}, {_one_byte('y')}) <= 15 * (2 * (length(i) + CASE WHEN i <> '' THEN 1 ELSE 0 END) + length(x) + length(y))),
-    scored AS (SELECT query, name, name_id, {duck_token_set()} AS base FROM possible)
-    SELECT query, name, round(base, 6) AS score FROM scored WHERE base >= 85 QUALIFY row_number() OVER (PARTITION BY query ORDER BY base DESC, name_id) <= 50"""
+      AND 100 * abs(length(a.joined) - length(b.joined)) <= {100 - match.THRESHOLD} * (length(a.joined) + length(b.joined))
+      AND 100 * levenshtein(a.plain, b.plain) <= {100 - match.THRESHOLD} * (length(a.joined) + length(b.joined))),
+    pairs AS MATERIALIZED (SELECT * FROM sharing UNION SELECT * FROM near),
+    by_tokens AS ({_reaching("pairs", match.THRESHOLD)})"""
 
 
-def _token_set_twin() -> str:
+def _token_set_twin(rest: str) -> str:
     numbered = "SELECT lower(trim(canonical_name)) AS name, min(id) AS name_id FROM f_locality WHERE trim(canonical_name) <> '' GROUP BY 1"
     text = oracle("\x00", "f_record", "f_locality", q=_Q + " WHERE trim(typed) <> ''", numbered=numbered)
-    return text.replace("\x00", ", " + _TOKEN_SET_SQL)
+    return text.replace("\x00", f", {_TOKEN_SET_SQL} {rest}")
 
 
-@query("c8_token_set_match", _token_set_twin())
+@query("c8_token_set_match", _token_set_twin(f"""
+    SELECT query, name, round(base, 6) AS score FROM by_tokens
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY base DESC, name_id) <= {match.TOKEN_SET_LIMIT}"""))
 def c8(s: Source):
     found = match.token_set_matches(_texts(s), _names(s))
     return found.select("query", "name", F.round("base", 6).alias("score"))
 
 
-@query("c9_locality_match")
+_BOOSTS = (("same_pin", scoring.BOOST_PIN), ("same_district", scoring.BOOST_DISTRICT), ("same_state", scoring.BOOST_STATE),
+           (f"coalesce(population > {scoring.LARGE_POPULATION}, FALSE)", scoring.BOOST_POPULATION))
+
+
+def _boosted(rows: str) -> str:
+    """SQL that raises the score step by step, each step capped at 100."""
+    for condition, points in _BOOSTS:
+        rows = f"SELECT * REPLACE (CASE WHEN {condition} THEN least(100::DOUBLE, score + {points}) ELSE score END AS score) FROM ({rows}) AS b"
+    return rows
+
+
+# Every candidate of every kind beside every record of its name, without blocking or early cuts.
+_LOCALITY_MATCH_SQL = f""",
+    aliased AS (SELECT DISTINCT query, lower(trim(canonical_name)) AS name FROM q JOIN f_locality ON query = lower(trim(alias))),
+    plain_query AS MATERIALIZED (SELECT query, {_one_byte('query')} AS plain, length(query) AS size FROM q),
+    plain_name AS MATERIALIZED (SELECT name, name_id, {_one_byte('name')} AS plain, length(name) AS size FROM numbered),
+    other AS (SELECT query, name, name_id FROM aliased JOIN numbered USING (name)
+      UNION SELECT query, name, name_id FROM q JOIN numbered ON starts_with(name, query)
+      UNION SELECT query, name, name_id FROM plain_query AS a JOIN plain_name AS b ON b.size BETWEEN a.size - {match.MAX_EDITS} AND a.size + {match.MAX_EDITS}
+        AND levenshtein(a.plain, b.plain) <= {match.MAX_EDITS}),
+    candidates AS (SELECT * FROM by_tokens UNION {_reaching("other", match.THRESHOLD - scoring.MAX_BOOST)}),
+    asked AS (SELECT DISTINCT lower(trim(typed)) AS query, pincode AS ctx_pincode, district AS ctx_district, state AS ctx_state FROM f_record),
+    records AS (SELECT *, lower(trim(canonical_name)) AS name FROM f_locality),
+    met AS (SELECT a.*, r.* EXCLUDE (name), c.base AS score,
+        CASE WHEN c.query = c.name THEN 'exact' WHEN (c.query, c.name) IN (SELECT (query, name) FROM aliased) THEN 'exact_alias'
+             WHEN starts_with(c.name, c.query) THEN 'prefix' ELSE 'fuzzy' END AS method,
+        coalesce(a.ctx_pincode = r.pincode, FALSE) AS same_pin, coalesce(lower(a.ctx_district) = lower(r.district), FALSE) AS same_district,
+        coalesce(lower(a.ctx_state) = lower(r.state), FALSE) AS same_state
+      FROM asked AS a JOIN candidates AS c USING (query) JOIN records AS r ON r.name = c.name),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query, ctx_pincode, ctx_district, ctx_state ORDER BY score DESC,
+        list_position(['exact', 'exact_alias', 'prefix', 'fuzzy'], method), same_pin DESC, same_district DESC, same_state DESC,
+        population DESC NULLS LAST, canonical_name, pincode NULLS FIRST, id) AS rank
+      FROM ({_boosted("SELECT * FROM met")}) AS boosted WHERE score >= {match.THRESHOLD})
+    SELECT query, ctx_pincode, ctx_district, ctx_state, canonical_name, pincode, city, district, state, source, latitude, longitude,
+           round(score, 6) AS score, method, rank::INT AS rank FROM ranked WHERE rank <= {match.MATCH_LIMIT}"""
+
+
+@query("c9_locality_match", _token_set_twin(_LOCALITY_MATCH_SQL))
 def c9(s: Source):
     asked = s.view("f_record").select(F.col("typed").alias("query"), F.col("pincode").alias("ctx_pincode"),
                                       F.col("district").alias("ctx_district"), F.col("state").alias("ctx_state"))
