@@ -846,36 +846,57 @@ def k6(s: Source):
         "record_id", "field_name", "old_value", "new_value", "processing_method", "confidence")
 
 
-_REPORT_SQL = """SELECT job_id, total_records, complete_addresses_before AS before_complete_addresses, overall_quality_before AS before_overall_quality_pct,
-    complete_addresses_before + improved_records AS after_complete_addresses, greatest(0, missing_pincode_before - pincodes_added) AS after_missing_pincode,
-    greatest(0, missing_locality_before - cities_added) AS after_missing_locality, greatest(0, missing_state_before - states_added) AS after_missing_state,
-    greatest(0, invalid_addresses_before - improved_records) AS after_invalid_addresses, final_quality_score AS after_overall_quality_pct,
-    CAST(pincodes_added + cities_added + districts_added + states_added AS DOUBLE) / total_records * 100 AS delta_fill_rate FROM f_stats"""
+# What the report says before a job, what it subtracts for the value after it, and what the job changed.
+_COUNTED = {"complete_addresses": None, "missing_pincode": "pincodes_added", "missing_locality": "cities_added", "missing_city": "cities_added",
+            "missing_district": "districts_added", "missing_state": "states_added", "invalid_addresses": "improved_records"}
+_CHANGED = ("pincodes_added", "cities_added", "districts_added", "states_added", "spell_corrections", "improved_records", "manual_review_records")
+_TIERS = ("high", "medium", "low", "unverified")
+
+
+def _report_sql() -> str:
+    """SQL for all columns of the report."""
+    after = {m: f"greatest(0, {m}_before - {by})" for m, by in _COUNTED.items() if by}
+    after |= {"complete_addresses": "complete_addresses_before + improved_records", "duplicate_addresses": "duplicate_addresses_before"}
+    columns = ["job_id", "total_records", "overall_quality_before AS before_overall_quality_pct", "final_quality_score AS after_overall_quality_pct",
+               "improvement_percentage AS delta_quality_improvement_pct",
+               "CAST(pincodes_added + cities_added + districts_added + states_added AS DOUBLE) / CASE total_records WHEN 0 THEN 1 ELSE total_records END * 100 AS delta_fill_rate"]
+    columns += [f"{m}_before AS before_{m}" for m in after] + [f"{v} AS after_{m}" for m, v in after.items()]
+    columns += [f"{c} AS delta_{c}" for c in _CHANGED] + [f"confidence_{c}" for c in _TIERS]
+    return f"SELECT {', '.join(columns)} FROM f_stats"
+
+
+@query("d16_report_from_stats", oracle(_report_sql(), "f_stats"))
+def d16(s: Source):
+    return quality.report_from_stats(s.view("f_stats"))
 
 
-@query("d16_report_from_stats", oracle(_REPORT_SQL, "f_stats"))
-def d16(s: Source):
-    return quality.report_from_stats(s.view("f_stats")).select(
-        "job_id", "total_records", "before_complete_addresses", "before_overall_quality_pct", "after_complete_addresses", "after_missing_pincode",
-        "after_missing_locality", "after_missing_state", "after_invalid_addresses", "after_overall_quality_pct", "delta_fill_rate")
+def _report_rows_sql() -> str:
+    measured = [*_COUNTED, "duplicate_addresses", "overall_quality_pct"]
+    rows = ["SELECT job_id, 'total_records' AS metric, total_records::DOUBLE AS before, total_records::DOUBLE AS after, NULL::DOUBLE AS delta FROM r"]
+    rows += [f"SELECT job_id, '{m}', before_{m}::DOUBLE, after_{m}::DOUBLE, NULL FROM r" for m in measured]
+    rows += [f"SELECT job_id, '{c}', NULL, NULL, delta_{c}::DOUBLE FROM r" for c in (*_CHANGED, "quality_improvement_pct", "fill_rate")]
+    return " UNION ALL ".join(rows)
 
 
-@query("a13_report_rows", oracle("""
-    SELECT job_id, 'missing_city' AS metric, missing_city_before::DOUBLE AS before, greatest(0, missing_city_before - cities_added)::DOUBLE AS after, NULL::DOUBLE AS delta FROM f_stats
-    UNION ALL SELECT job_id, 'states_added', NULL, NULL, states_added::DOUBLE FROM f_stats
-    UNION ALL SELECT job_id, 'total_records', total_records::DOUBLE, total_records::DOUBLE, NULL FROM f_stats""", "f_stats"))
+@query("a13_report_rows", oracle(_report_rows_sql(), "f_stats", r=_report_sql()))
 def a13(s: Source):
-    return quality.report_rows(quality.report_from_stats(s.view("f_stats"))).filter(F.col("metric").isin("missing_city", "states_added", "total_records"))
+    return quality.report_rows(quality.report_from_stats(s.view("f_stats")))
+
+
+# Section and field of the JSON report, the column of the report it holds, and its type.
+_JSON = [("before", "total_records", "total_records", "bigint"), ("before", "overall_quality_pct", "before_overall_quality_pct", "double"),
+         *[("before", m, f"before_{m}", "bigint") for m in (*_COUNTED, "duplicate_addresses")],
+         *[("after", c, f"delta_{c}", "bigint") for c in _CHANGED], ("after", "final_quality_pct", "after_overall_quality_pct", "double"),
+         *[("delta", c, f"delta_{c}", "double") for c in ("quality_improvement_pct", "fill_rate")],
+         *[("confidence_distribution", c, f"confidence_{c}", "bigint") for c in _TIERS]]
 
 
-@query("a13_report_json", oracle("""
-    SELECT s.job_id, total_records AS before_total, final_quality_score AS after_quality, confidence_low AS low FROM f_stats AS s JOIN f_job AS j
-    ON j.job_id = s.job_id AND j.status = 'completed'""", "f_stats", "f_job"))
+@query("a13_report_json", oracle(
+    f"SELECT job_id, {', '.join(f'{c} AS {section}_{field}' for section, field, c, _ in _JSON)} FROM r JOIN f_job USING (job_id) WHERE status = 'completed'",
+    "f_stats", "f_job", r=_report_sql()))
 def a13_json(s: Source):
     doc = quality.report_json(results.job_report(s.view("f_stats"), s.view("f_job")))
-    return doc.select("job_id", F.get_json_object("report", "$.before.total_records").cast("bigint").alias("before_total"),
-                      F.get_json_object("report", "$.after.final_quality_pct").cast("double").alias("after_quality"),
-                      F.get_json_object("report", "$.confidence_distribution.low").cast("bigint").alias("low"))
+    return doc.select("job_id", *[F.get_json_object("report", f"$.{section}.{field}").cast(kind).alias(f"{section}_{field}") for section, field, _, kind in _JSON])
 
 
 # -- batch twins of the streams -------------------------------------------------------------

@@ -59,15 +59,14 @@ def a1_types(s: Source):
     return readers.infer_types(s.table("customer").select([F.col(c).cast("string") for c in s.table("customer").columns]))
 
 
-@query("a2_many_files", "SELECT source_files, CAST(rows_read AS BIGINT) AS rows_read FROM (SELECT 2 AS source_files, "
-       "(SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS rows_read)")
+@query("a2_many_files", "SELECT 'customer' AS origin, c_name AS name FROM customer UNION ALL SELECT 'orders', o_orderpriority FROM orders")
 def a2(s: Source):
-    one, two = s.scratch(), s.scratch()
-    writers.write_table(s.table("customer").select(F.col("c_name").alias("name")).coalesce(1), one, "csv")
-    writers.write_table(s.table("orders").select(F.col("o_orderpriority").alias("name")).coalesce(1), two, "csv")
-    both = readers.read_csv(s.spark, [one, two], file_column="file")
-    per_file = both.groupBy("file").agg(F.count("*").alias("n"))
-    return per_file.agg(F.count("*").cast("int").alias("source_files"), F.sum("n").alias("rows_read"))
+    parts = {"customer": ("c_name", s.scratch()), "orders": ("o_orderpriority", s.scratch())}
+    for table, (column, folder) in parts.items():
+        writers.write_table(s.table(table).select(F.col(column).alias("name")), folder, "csv")
+    both = readers.read_csv(s.spark, [folder for _, folder in parts.values()], file_column="file")
+    origin = [F.when(F.col("file").contains(folder.rsplit("/", 1)[1]), table) for table, (_, folder) in parts.items()]
+    return both.select(F.coalesce(*origin).alias("origin"), "name")
 
 
 @query("a3_upload_violations", """
