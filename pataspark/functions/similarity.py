@@ -85,7 +85,7 @@ def letter_bits(c: Column) -> Column:
     def seen(bits: Column, ch: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(ch) % 32)
         return bits.bitwiseOR(bit).bitwiseOR(F.shiftleft(bits.bitwiseAND(bit), 32))
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), seen)
+    return F.aggregate(F.filter(F.split(c, ""), lambda ch: ch != ""), F.lit(0).cast("long"), seen)
 
 
 def letters_apart(a: Column, b: Column) -> Column:
