@@ -9,11 +9,11 @@ the name and by how random they look.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,18 +33,33 @@ SENSITIVE = {
 HARMLESS = {"public", "length", "len", "count", "min", "max", "path", "file", "filename", "dir", "url", "uri", "name", "id", "type",
             "field", "label", "hint", "prompt", "policy", "expires", "expiry", "ttl", "timeout", "limit", "format", "regex", "pattern", "header"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|change_?me|example|dummy|test|sample|placeholder|your[-_ ].*|insert.*|none|null|true|false|undefined|todo|<.*>|\$?\{.*\}|%.*%)$")
+# The same for a value too long for the fixed words: its start and last character decide.
+_LONG_PLACEHOLDER = re.compile(r"(?i)^(?:your[-_ ].*|insert.*|<.*>|\$?\{.*\}|%.*%)$")
+_HEAD = 16
 LIMIT = 0.45
+# A profile of more characters is scaled down; only proportions matter there.
+_MOST = 1e200
 
-_TOKEN = re.compile(r"""
-    (?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+# Quoted texts end on their line.
+_QUOTED = {'"': r'"(?:[^"\\\n]|\\.)*"', "'": r"'(?:[^'\\\n]|\\.)*'", "`": r"`[^`\n]*`"}
+
+
+def _lexer(unclosed: str) -> re.Pattern:
+    """Tokens; a mark in ``unclosed`` opens no text."""
+    return re.compile(rf"""
+    (?P<text>{"|".join(p for mark, p in _QUOTED.items() if mark not in unclosed)})
   | (?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)
-  | (?P<op>:=|=>|==|!=|<=|>=|[:=+,;(){}\[\]])
+  | (?P<op>:=|=>|==|!=|<=|>=|[:=+,;(){{}}\[\]])
   | (?P<comment>\#[^\n]*|//[^\n]*)
   | (?P<skip>\\\r?\n)
   | (?P<nl>\n)
-  | (?P<other>[^\s"'`A-Za-z_$:=+,;(){}\[\]#/]+|.)
+  | (?P<other>[^\s"'`A-Za-z_$:=+,;(){{}}\[\]#/]+|.)
 """, re.X)
+
+
+_LEXERS = {frozenset(marks): _lexer(marks) for marks in ("", '"', "'", "\"'")}
 _BARE = re.compile(r"[^\s\"'`#;,(){}\[\]]+")
+_LINE_END = re.compile(r"[^\S\n]*(?:[#\n]|\Z)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # A text without any of these has no sensitive name.
 _HINTS = tuple(w for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE))
@@ -76,14 +91,99 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
 
 
+@dataclass(frozen=True, slots=True)
+class Profile:
+    """What the score needs of a value, so that joined values are scored without their text.
+
+    Characters are counted by code point modulo 128: exact for ASCII, folded beyond it. ``kinds`` marks
+    lower case, upper case, digits, other characters and white space.
+    """
+
+    counts: np.ndarray
+    length: float
+    kinds: tuple[bool, ...]
+    head: str
+    last: str
+
+    @classmethod
+    def of(cls, value: str) -> Profile:
+        points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = set(value)
+        kinds = (any(c.islower() for c in seen), any(c.isupper() for c in seen), any(c.isdigit() for c in seen),
+                 any(not c.isalnum() for c in seen), any(c.isspace() for c in seen))
+        return cls(np.bincount(points & 127, minlength=128).astype(float), float(len(value)), kinds, value[:_HEAD], value[-1:])
+
+    def __add__(self, other: Profile) -> Profile:
+        counts, length = self.counts + other.counts, self.length + other.length
+        if length > _MOST:
+            counts, length = counts / 1e100, length / 1e100
+        head = self.head if len(self.head) == _HEAD else (self.head + other.head)[:_HEAD]
+        return Profile(counts, length, tuple(a or b for a, b in zip(self.kinds, other.kinds)), head, other.last or self.last)
+
+    def placeholder(self) -> bool:
+        if self.length <= _HEAD:
+            return bool(PLACEHOLDER.match(self.head))
+        one = len({c.lower() for c in self.head}) == 1 and self.head[0] in "xX*.-_"
+        same = sum(self.counts[ord(c)] for c in {self.head[0].lower(), self.head[0].upper()}) if one else 0
+        return bool(one and same == self.length) or bool(_LONG_PLACEHOLDER.match(self.head + self.last))
+
+    def score(self) -> float:
+        """From 0 to 1: long, mixed and varied values look like secrets; words and placeholders do not."""
+        if self.length < 6 or self.kinds[4] or self.placeholder():
+            return 0.0
+        share = self.counts[self.counts > 0] / self.length
+        entropy = -float(np.dot(share, np.log2(share)))
+        return min(1.0, entropy / 3.5) * (0.55 + 0.15 * sum(self.kinds[:4]))
+
+
 def literal_score(value: str) -> float:
-    """From 0 to 1: long, mixed and varied literals look like secrets; words and placeholders do not."""
-    if len(value) < 6 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, entropy / 3.5) * (0.55 + 0.15 * kinds)
+    return Profile.of(value).score()
+
+
+class _Value:
+    """A constant: a literal's span, or two constants joined. Names share them, nothing is copied."""
+
+    __slots__ = ("left", "right", "start", "end")
+
+    def __init__(self, left: _Value | None = None, right: _Value | None = None, start: int = 0, end: int = 0) -> None:
+        self.left, self.right, self.start, self.end = left, right, start, end
+
+
+def _reached(values: list[_Value]) -> set[tuple[int, int]]:
+    """Spans of all literals that the values are made of, each value visited once."""
+    seen, found, todo = set(map(id, values)), set(), list(values)
+    while todo:
+        v = todo.pop()
+        if v.left is None:
+            if v.end > v.start:
+                found.add((v.start, v.end))
+            continue
+        for part in (v.left, v.right):
+            if id(part) not in seen:
+                seen.add(id(part))
+                todo.append(part)
+    return found
+
+
+def _tokens(text: str) -> Iterator[re.Match]:
+    """Tokens in order.
+
+    Once a quotation mark finds no partner on its line, all later ones of its kind there are escaped for it and for each
+    other, so the rest of the line is read without that kind; a line is not searched again from each of them.
+    """
+    at, unclosed, stop = 0, frozenset(), -1
+    while at < len(text):
+        for m in _LEXERS[unclosed].finditer(text, at):
+            if unclosed and m.start() >= stop:
+                at, unclosed = m.start(), frozenset()
+                break
+            yield m
+            if m[0] in ('"', "'") and m[0] not in unclosed:
+                at, unclosed = m.end(), unclosed | {m[0]}
+                stop = end if (end := text.find("\n", at)) >= 0 else len(text)
+                break
+        else:
+            return
 
 
 def _indent(text: str, at: int) -> int:
@@ -96,7 +196,7 @@ def _pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
 
     A value may stand on a later line than its name, in parentheses, or go on after a ``+``. A line break ends it otherwise.
     """
-    tokens = [(m.lastgroup, m[0], *m.span()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip" and (m[0] == "\n" or not m[0].isspace())]
+    tokens = [(m.lastgroup, m[0], *m.span()) for m in _tokens(text) if m.lastgroup != "skip" and (m[0] == "\n" or not m[0].isspace())]
     n = len(tokens)
 
     def past(j: int) -> int:
@@ -107,6 +207,8 @@ def _pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
     def sets(j: int) -> bool:
         return j < n and tokens[j][1] in _SETS
 
+    run_end = -1  # the end of the unquoted run that was looked at last
+
     i = 0
     while i < n:
         kind, value, start, _ = tokens[i]
@@ -123,13 +225,15 @@ def _pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
         broken = first > j
         if tokens[k][1] in (":", "=") and kind == "name" and first < n and tokens[first][0] != "text":
             at = tokens[first][2]
-            stop = end if (end := text.find("\n", at)) >= 0 else len(text)
-            bare = _BARE.match(text, at, stop)
-            tail = text[bare.end():stop].strip() if bare else "-"
+            if at >= run_end:
+                bare = _BARE.match(text, at)
+                run_end = bare.end() if bare else at
+            alone = run_end > at and _LINE_END.match(text, run_end)
             # On a later line it is a value only if indented, and not a pair itself.
-            own = not broken or (_indent(text, at) > _indent(text, start) and bare and not re.search(r":$|[:=][^=]", bare[0]))
-            if bare and own and (not tail or tail[0] == "#"):  # a value without quotes, alone to the end of the line
-                yield target, [("bare", bare[0], at, bare.end())]
+            own = not broken or (_indent(text, at) > _indent(text, start) and alone and not re.search(r":$|[:=][^=]", text[at:run_end]))
+            if alone and own:  # a value without quotes, alone to the end of the line
+                yield target, [("bare", text[at:run_end], at, run_end)]
+                stop = end if (end := text.find("\n", at)) >= 0 else len(text)
                 while i < n and tokens[i][2] < stop:
                     i += 1
                 continue
@@ -179,30 +283,31 @@ def literal_spans(text: str) -> list[Span]:
     lower = text.lower()
     if not any(h in lower for h in _HINTS):
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    found: set[tuple[int, int]] = set()
+    known: dict[str, tuple[_Value, Profile]] = {}
+    secret: list[_Value] = []
     for target, terms in _pairs(text):
-        pieces: list[tuple[str, int, int]] | None = [] if terms else None
+        whole: tuple[_Value, Profile] | None = None
         for kind, value, start, end in terms:
             if kind == "text":
-                pieces.append((value[1:-1], start + 1, end - 1))
+                term = _Value(start=start + 1, end=end - 1), Profile.of(value[1:-1])
             elif kind == "triple":
-                pieces.append(("".join(x.strip() for x in value.split("\n")), start, end))
+                term = _Value(start=start, end=end), Profile.of("".join(x.strip() for x in value.split("\n")))
             elif kind == "bare" and value not in known:
-                pieces.append((value, start, end))
+                term = _Value(start=start, end=end), Profile.of(value)
             elif value in known:
-                pieces += known[value]
+                term = known[value]
             else:
-                pieces = None
+                whole = None
                 break
-        if not pieces:
+            whole = (_Value(whole[0], term[0]), whole[1] + term[1]) if whole else term
+        if whole is None:
             known.pop(target, None)
             continue
-        known[target] = pieces = list(dict.fromkeys(pieces))  # a literal counts once, so chains stay short
+        known[target] = whole
         score = name_score(target)
-        if score and score * literal_score("".join(v for v, _, _ in pieces)) >= LIMIT:
-            found |= {(s, e) for _, s, e in pieces if e > s}
-    return [("literal", s, e) for s, e in sorted(found)]
+        if score and score * whole[1].score() >= LIMIT:
+            secret.append(whole[0])
+    return [("literal", s, e) for s, e in sorted(_reached(secret))]
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

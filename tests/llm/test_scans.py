@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,38 @@ def test_every_sensitive_name_passes_the_gate():
         assert secrets.literal_spans(f"{name} = 'Xk29dLq0zPwM#Yt71'"), name
 
 
+def _chains():
+    rng = random.Random(3)
+    def piece():
+        return "".join(rng.choice("abcdefghijkABCDEFGH0123456789") for _ in range(20))
+    yield "secret_key = 'q9'\n" + "".join(f"secret_key = secret_key + '{piece()}'\n" for _ in range(20_000)), 20_001
+    yield "k0 = 'aZ9$kqLm2'\n" + "".join(f"k{i + 1} = k{i} + '{i}'\n" for i in range(40_000)) + "password = k40000\n", 40_001
+    yield "a = 'aZ9$kqLm2'\n" + "a = a + a\n" * 80_000 + "client_pwd = a\n", 1
+    yield "{" + ",".join(f"secret{i}:b{i}" for i in range(60_000)) + "}", 0
+    yield "secret:" + ":".join(["ab"] * 300_000) + ",", 0
+    yield "secret=" + '"\\' * 400_000, 0
+
+
+@pytest.mark.parametrize(("text", "n_literals"), list(_chains()), ids=["own name", "names", "doubled", "one line", "colons", "escapes"])
+def test_long_texts_take_linear_time(text, n_literals):
+    start = time.process_time()
+    assert len(secrets.literal_spans(text)) == n_literals
+    assert time.process_time() - start < 20 * max(1, len(text) / 1e6)  # 2 to 5 s alone; hours if the work grew with the square
+
+
+def test_joined_values_are_scored_like_their_text():
+    rng = random.Random(4)
+    for _ in range(3000):
+        parts = ["".join(rng.choice("abXY01xX*-_ <>{}%$é") if rng.random() < 0.5 else "x" for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))]
+        whole = secrets.Profile.of(parts[0])
+        for p in parts[1:]:
+            whole += secrets.Profile.of(p)
+        assert whole.score() == pytest.approx(secrets.literal_score("".join(parts)))
+    for value in ("x" * 40, "X" * 20 + "x" * 20, "your-" + "k9Zq" * 9, "<" + "k9Zq" * 9 + ">", "${" + "k9Zq" * 9 + "}", "insert" + "k9Zq" * 9):
+        assert secrets.PLACEHOLDER.match(value) and secrets.literal_score(value) == 0.0
+    assert secrets.literal_score("x" * 20 + "k9Zq" * 9) > 0.3
+
+
 def test_all_base_spans_stay():
     text = 'password = "Xk29dLq0zPwM"\nclient_pwd = "Ak29dLq0zPwM"'
     base, spans = secrets.all_spans(text)
