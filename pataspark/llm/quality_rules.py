@@ -13,8 +13,9 @@ from pataspark.llm.common import let, packed, shared_table, unpacked, without_po
 # Base rules.
 WINDOW, MIN_WORDS, MAX_REPEATED_PERCENT = 8, 20, 30
 SYMBOLS = "[#*$%&|<>]"
-# A line is removed from a host if more documents of it have the line than both limits allow.
-MAX_DOCUMENTS, MAX_SHARE_PERCENT = 10, 10
+# A line is removed from a host if more documents of it have the line than MAX_DOCUMENTS, or more than this
+# percentage of the host's documents; a share speaks only above SHARE_DOCUMENTS documents. Either limit decides alone.
+MAX_DOCUMENTS, MAX_SHARE_PERCENT, SHARE_DOCUMENTS = 40, 10, 10
 # A document is depleted when less than this percentage of its characters is left.
 MIN_LEFT_PERCENT = 30
 
@@ -83,29 +84,30 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("_doc_id", "_host", "_content", "_at", F.xxhash64("_norm").alias("_key"), F.length("_line").alias("_length"))
 
 
-def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: float = MAX_SHARE_PERCENT) -> DataFrame:
-    """Lines above both limits (_host, _key, documents).
+def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: float = MAX_SHARE_PERCENT,
+                   share_documents: int = SHARE_DOCUMENTS) -> DataFrame:
+    """Lines above either limit (_host, _key, documents).
 
-    Documents are counted by content, so that copies of one text count once. A null source and an empty
-    one are the same host.
+    A document is a doc_id with its text: repeated rows count once, copies under other ids count each. A null
+    source and an empty one are the same host.
     """
-    in_documents = _lines(docs).select("_host", "_key", "_content").distinct()
-    counts = in_documents.groupBy("_host", "_key").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents)
-    contents = docs.select(F.coalesce("source", F.lit("")).alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_content"))
-    hosts = contents.distinct().groupBy("_host").agg(F.count("*").alias("all_documents"))
-    return (counts.join(hosts, "_host").filter(100 * F.col("documents") > max_share_percent * F.col("all_documents"))
-            .select("_host", "_key", "documents"))
+    in_documents = _lines(docs).select("_host", "_key", "_doc_id", "_content").distinct()
+    counts = in_documents.groupBy("_host", "_key").agg(F.count("*").alias("documents")).filter(F.col("documents") > min(max_documents, share_documents))
+    documents = docs.select(F.coalesce("source", F.lit("")).alias("_host"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_content"))
+    hosts = documents.distinct().groupBy("_host").agg(F.count("*").alias("all_documents"))
+    share = (F.col("documents") > share_documents) & (100 * F.col("documents") > max_share_percent * F.col("all_documents"))
+    return counts.join(hosts, "_host").filter((F.col("documents") > max_documents) | share).select("_host", "_key", "documents")
 
 
 def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: float = MAX_SHARE_PERCENT,
-                  min_left_percent: float = MIN_LEFT_PERCENT) -> DataFrame:
+                  min_left_percent: float = MIN_LEFT_PERCENT, share_documents: int = SHARE_DOCUMENTS) -> DataFrame:
     """Every row with its measures, the verdicts, and ``clean_text``, the text without frequent lines.
 
     A null text has no words and fails the base rule; its clean text is empty. Equal rows get equal
     results. Rows without doc_id are told apart by their content. An empty table gives no rows. Columns that have the name of a
     result are replaced by it, all others stay.
     """
-    frequent = shared_table(frequent_lines(docs, max_documents, max_share_percent))
+    frequent = shared_table(frequent_lines(docs, max_documents, max_share_percent, share_documents))
     hits = _lines(docs).join(frequent, ["_host", "_key"])
     removed = hits.groupBy("_doc_id", "_host", "_content").agg(F.collect_set(F.struct("_at", "_length")).alias("_gone"))
     df = _measured(docs).alias("d").join(

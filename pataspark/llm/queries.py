@@ -124,9 +124,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS ho
   line AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM d),
   norm AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[ \t-\r]+', ' ', 'g')) AS k FROM line),
   dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup FROM norm WHERE k <> '' GROUP BY doc_id),
-  hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-  freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS c FROM norm WHERE k <> '' GROUP BY host, k) AS f JOIN hosts USING (host)
-           WHERE c > {quality_rules.MAX_DOCUMENTS} AND 100 * c > {quality_rules.MAX_SHARE_PERCENT} * n),
+  hosts AS (SELECT host, count(DISTINCT (doc_id, md5(text))) AS n FROM d GROUP BY host),
+  freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT (doc_id, md5(text))) AS c FROM norm WHERE k <> '' GROUP BY host, k) AS f JOIN hosts USING (host)
+           WHERE c > {quality_rules.MAX_DOCUMENTS} OR (c > {quality_rules.SHARE_DOCUMENTS} AND 100 * c > {quality_rules.MAX_SHARE_PERCENT} * n)),
   gone AS (SELECT doc_id, count(*) AS n_gone, CAST(sum(length(l) + 1) AS BIGINT) AS chars FROM norm JOIN freq USING (host, k) GROUP BY doc_id),
   m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,

@@ -155,10 +155,16 @@ def test_frequent_lines_of_a_host_go(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 60) + "\nAccept all 17 cookies", "h") for i in range(15)] + [(20, "accept  all 99 COOKIES\n" * 12 + "tail", "h")]
     rows += [(30 + i, "same copy of one text here " * 6, "h") for i in range(40)] + [(99, "Accept all 17 cookies " + prose(rng, 40), "g")]
+    rows += [(30, "same copy of one text here " * 6, "h")] * 9  # repeated rows count once
+    # In a large host a count above the limit decides alone, and 40 documents are not above it.
+    rows += [(1000 + i, prose(rng, 30) + ("\nSubscribe to our letter" if i < 41 else "\nFollow us" if i < 81 else ""), "big") for i in range(900)]
+    rows += [(3000 + i, prose(rng, 30) + ("\nA word from us" if i < 10 else ""), "small") for i in range(30)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0].n_frequent_lines == 1 and "cookies" not in got[0].clean_text and got[0].kept
     assert got[20].depleted and not got[20].kept and got[20].clean_text == "tail"
-    assert got[30].n_frequent_lines == 0 and got[99].n_frequent_lines == 0
+    assert got[30].n_frequent_lines == 1 and got[30].depleted and got[99].n_frequent_lines == 0  # 40 of 56 documents
+    assert "Subscribe" not in got[1000].clean_text and got[1000].kept and "Follow" in got[1050].clean_text
+    assert "A word" in got[3000].clean_text  # no more than ten
 
 
 def plain_targets(sizes, weights=(1, 2, 3)):
