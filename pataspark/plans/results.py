@@ -110,16 +110,19 @@ def review_records(records: DataFrame, decisions: DataFrame, at: datetime) -> tu
 
 
 def dashboard_pack(jobs_table: DataFrame, stats: DataFrame, records: DataFrame, chunks: DataFrame,
-                   asof: datetime) -> dict[str, DataFrame]:
-    """All dashboard frames by name."""
+                   asof: datetime, only: DataFrame | None = None, days: int = 30) -> dict[str, DataFrame]:
+    """All dashboard frames by name, for the jobs of ``only(job_id)`` or for all jobs."""
+    if only is not None:
+        jobs_table, stats, chunks = (of_jobs(t, only) for t in (jobs_table, stats, chunks))
     joined = jobs.with_stats(jobs_table, stats)
+    shown = of_jobs(records, jobs_table)
     return {
         "overview": dashboard.kpi_overview(joined),
         "quality": dashboard.quality_comparison(joined),
         "confidence": dashboard.tier_totals(stats),
-        "states": dashboard.state_distribution(of_jobs(records, jobs_table)),
-        "districts": dashboard.district_distribution(of_jobs(records, jobs_table)),
-        "performance": dashboard.daily_throughput(joined, asof),
+        "states": dashboard.state_distribution(shown),
+        "districts": dashboard.district_distribution(shown),
+        "performance": dashboard.daily_throughput(joined, asof, days),
         "errors": dashboard.failure_categories(chunks),
         "recent_jobs": recent_jobs(jobs_table),
         "reports": recent_jobs(jobs_table, status="completed"),

@@ -81,5 +81,6 @@ def append_audit(audit: DataFrame, path: str) -> None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        rows = rows.join(written, ["id", "year_month"], "left_anti")
+        months = [r.year_month for r in rows.select("year_month").distinct().collect()]
+        rows = rows.join(written.filter(F.col("year_month").isin(months)), ["id", "year_month"], "left_anti")
     rows.write.mode("append").partitionBy("year_month").parquet(path)

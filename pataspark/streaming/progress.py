@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pataspark.functions.scoring import eta_seconds, progress_pct, rate_per_second
 from pataspark.schemas import CHUNK_EVENTS
@@ -59,21 +61,94 @@ def events_per_bucket(events: DataFrame, bucket: str = "1 day", watermark: str |
             .select(F.col("w.start").alias("bucket_start"), "event_type", "event_count"))
 
 
-def last_seen(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Streaming state behind the stall check: the newest event per job (update mode)."""
-    return (events.withWatermark("event_time", watermark).groupBy("job_id")
-            .agg(F.max("event_time").alias("last_event")))
+JOB_STATES = "job_id string, state string, processed long, total_rows long, completed_chunks int, last_event timestamp"
+# Chunks counted so far, their rows, the total, the newest event in milliseconds, and where the job stands.
+_JOB_STATE = "chunks array<int>, processed long, total_rows long, last_ms long, state string"
+RUNNING, FINISHED, STALLED = "running", "finished", "stalled"
+
+
+def _job_state(stall_seconds: int, forget_seconds: int) -> Callable:
+    def row(job: str, chunks: set[int], processed: int, total: int, last: int, state: str) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"job_id": [job], "state": [state], "processed": [processed], "total_rows": [total],
+                            "completed_chunks": pd.Series([len(chunks)], dtype="int32"), "last_event": [pd.Timestamp(last, unit="ms")]})
+
+    def keep(group: GroupState, chunks: set[int], processed: int, total: int, last: int, state: str, seconds: int) -> None:
+        group.update((sorted(chunks), processed, total, last, state))
+        group.setTimeoutTimestamp(max(last + 1000 * seconds, group.getCurrentWatermarkMs() + 1))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        known, processed, total, last, state = group.get if group.exists else ([], 0, 0, 0, RUNNING)
+        chunks = set(known)
+        if group.hasTimedOut:
+            if state == RUNNING:
+                keep(group, chunks, processed, total, last, STALLED, forget_seconds)
+                yield from row(key[0], chunks, processed, total, last, STALLED)
+            else:
+                group.remove()
+            return
+        first: dict[int, tuple[int, int]] = {}
+        for events in batches:
+            for chunk, rows, of, status, ms in zip(events["chunk_index"], events["row_count"], events["total_rows"], events["status"], events["_ms"]):
+                last, total = max(last, int(ms)), max(total, int(of))
+                if status == "completed" and chunk not in chunks:
+                    first[int(chunk)] = min(first.get(int(chunk), (int(ms), int(rows))), (int(ms), int(rows)))
+        if state == FINISHED:  # a late repeat of a finished job
+            keep(group, set(), processed, total, last, FINISHED, stall_seconds)
+            return
+        chunks |= set(first)
+        processed += sum(rows for _, rows in first.values())
+        state = FINISHED if total and processed >= total else RUNNING
+        keep(group, set() if state == FINISHED else chunks, processed, total, last, state, stall_seconds)
+        yield from row(key[0], chunks, processed, total, last, state)
+
+    return step
+
+
+def job_states(events: DataFrame, stall_seconds: int = STALL_SECONDS, forget_seconds: int = 7 * 86_400, watermark: str = "10 seconds") -> DataFrame:
+    """Stream of job states (update mode): a row when a job moves on, finishes, or falls silent.
+
+    A job's first completion of each chunk counts. A finished job gives up its chunks at once and leaves the state
+    when the watermark passes ``stall_seconds`` after its last event, so repeats until then are not a new job. A running job
+    without events for that long is emitted as stalled; it goes on where it was if events come again within ``forget_seconds``,
+    and is released after that. Events without job, chunk or time are left out; no row count is 0.
+    """
+    filled = events.filter("job_id IS NOT NULL AND chunk_index IS NOT NULL AND event_time IS NOT NULL")
+    rows = filled.withWatermark("event_time", watermark).select(
+        "job_id", "chunk_index", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
+        F.coalesce("status", F.lit("")).alias("status"), "event_time", F.unix_millis("event_time").alias("_ms"))
+    return rows.groupBy("job_id").applyInPandasWithState(
+        _job_state(stall_seconds, forget_seconds), JOB_STATES, _JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def closed_sessions(events: DataFrame, stall_seconds: int = STALL_SECONDS, watermark: str = "10 seconds") -> DataFrame:
-    """Stream of jobs that fell silent: a session closes when no event came for the limit.
+def follow_job_states(events: DataFrame, target: str, checkpoint: str, **limits: object) -> StreamingQuery:
+    """Write the rows of :func:`job_states`, a partition per micro-batch, and stop when no events are left.
 
-    Append mode emits a row once the watermark has passed the end of the session.
+    A batch that is repeated after a failure replaces its own partition.
     """
-    w = F.session_window("event_time", f"{stall_seconds} seconds")
-    return (events.withWatermark("event_time", watermark).groupBy(w.alias("w"), "job_id")
-            .agg(F.count("*").alias("event_count"), F.max("event_time").alias("last_event"))
-            .select("job_id", "event_count", "last_event", F.col("w.end").alias("silent_since")))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_partitions(batch.withColumn("batch_id", F.lit(batch_id)), target, ["batch_id"])
+
+    return (job_states(events, **limits).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def newest_states(written: DataFrame) -> DataFrame:
+    """The last row of every job among those that :func:`follow_job_states` wrote."""
+    fields = [c for c in written.columns if c not in ("job_id", "batch_id")]
+    return written.groupBy("job_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select("job_id", "s.*")
+
+
+def job_states_snapshot(events: DataFrame, asof: Column, stall_seconds: int = STALL_SECONDS) -> DataFrame:
+    """Batch twin of :func:`job_states`: where every job stands at ``asof``."""
+    filled = events.filter("job_id IS NOT NULL AND chunk_index IS NOT NULL AND event_time IS NOT NULL")
+    done = progress_snapshot(filled).select("job_id", "processed", "completed_chunks")
+    total = filled.groupBy("job_id").agg(F.coalesce(F.max("total_rows"), F.lit(0)).alias("total_rows"), F.max("event_time").alias("last_event"))
+    df = total.join(done, "job_id", "left").withColumn("processed", F.coalesce("processed", F.lit(0)))
+    silent = F.unix_timestamp(asof) - F.unix_timestamp("last_event") > stall_seconds
+    state = (F.when((F.col("total_rows") > 0) & (F.col("processed") >= F.col("total_rows")), FINISHED)
+             .when(silent, STALLED).otherwise(RUNNING))
+    return df.select("job_id", state.alias("state"), "processed", "total_rows",
+                     F.coalesce("completed_chunks", F.lit(0)).cast("int").alias("completed_chunks"), "last_event")
 
 
 def enrich_incrementally(source: DataFrame, enrich: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,

@@ -37,6 +37,11 @@ def b5(s: Source):
     return lookups.review_queue(s.view("f_processed")).select("record_id", "overall")
 
 
+@query("b5_review_queue_by_status", oracle("SELECT record_id, overall, confidence_tier FROM f_processed WHERE review_status = 'needs_review'", "f_processed"))
+def b5_status(s: Source):
+    return lookups.review_queue(s.view("f_processed"), "needs_review").select("record_id", "overall", "confidence_tier")
+
+
 @query("b6_job_filters", oracle("""
     SELECT job_id, filename FROM f_job WHERE user_id = 7 AND status = 'completed' AND created_at >= TIMESTAMP '1996-01-01'
            AND created_at < TIMESTAMP '2000-01-01'""", "f_job"))
@@ -519,7 +524,7 @@ def c21(s: Source):
     return _jobs_with_stats(s).select("job_id", "status", "total_rows", "total_records", "final_quality_score")
 
 
-@query("d9_kpi_overview", oracle("""
+_KPI = """
     SELECT CAST(sum(total_rows) AS BIGINT) AS total_records, CAST(sum(processed_rows) AS BIGINT) AS processed_records,
            CAST(sum(total_rows - processed_rows) AS BIGINT) AS pending_records, CAST(sum(failed_rows) AS BIGINT) AS failed_records,
            CAST(sum(manual_review_rows) AS BIGINT) AS manual_review_records,
@@ -528,7 +533,10 @@ def c21(s: Source):
            round(avg((confidence_high * 92.5::DOUBLE + confidence_medium * 72 + confidence_low * 49.5::DOUBLE + confidence_unverified * 20) / t) FILTER (done AND t > 0), 2) AS avg_confidence,
            round(sum(processing_time) FILTER (done), 2) AS total_processing_time
     FROM (SELECT *, status IN ('completed', 'failed', 'cancelled') AS done,
-                 confidence_high + confidence_medium + confidence_low + confidence_unverified AS t FROM js)""", "f_job", "f_stats", js=_JS))
+                 confidence_high + confidence_medium + confidence_low + confidence_unverified AS t FROM js)"""
+
+
+@query("d9_kpi_overview", oracle(_KPI, "f_job", "f_stats", js=_JS))
 def d9(s: Source):
     return dashboard.kpi_overview(_jobs_with_stats(s))
 
@@ -537,33 +545,45 @@ _BEFORE_SQL = ", ".join(f"CAST(sum({c}_before) AS BIGINT) AS before_{c}" for c i
 _AFTER_SQL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in dashboard._AFTER)
 
 
-@query("d10_quality_comparison", oracle(f"""
+_COMPARISON = f"""
     SELECT CAST(sum(total_rows) FILTER (total_records IS NOT NULL) AS BIGINT) AS total_records, {_BEFORE_SQL}, {_AFTER_SQL},
            round(avg(coalesce(overall_quality_before, 0)), 2) AS before_quality_pct, round(avg(coalesce(final_quality_score, 0)), 2) AS after_quality_pct,
            round(avg(coalesce(final_quality_score, 0)) - avg(coalesce(overall_quality_before, 0)), 2) AS quality_improvement,
            round(sum(pincodes_added + cities_added + districts_added + states_added) * 100.0::DOUBLE / sum(total_rows) FILTER (total_records IS NOT NULL), 2) AS fill_rate
-    FROM js""", "f_job", "f_stats", js=_JS))
+    FROM js"""
+
+
+@query("d10_quality_comparison", oracle(_COMPARISON, "f_job", "f_stats", js=_JS))
 def d10(s: Source):
     return dashboard.quality_comparison(_jobs_with_stats(s))
 
 
-@query("d11_tier_totals", oracle("SELECT " + ", ".join(
-    f"CAST(sum(confidence_{t}) AS BIGINT) AS {t}" for t in ("high", "medium", "low", "unverified")) + " FROM f_stats", "f_stats"))
+_TIER_TOTALS = "SELECT " + ", ".join(
+    f"CAST(sum(confidence_{t}) AS BIGINT) AS {t}" for t in ("high", "medium", "low", "unverified")) + " FROM f_stats"
+
+
+@query("d11_tier_totals", oracle(_TIER_TOTALS, "f_stats"))
 def d11(s: Source):
     return dashboard.tier_totals(s.view("f_stats"))
 
 
-@query("d12_daily_throughput", oracle("""
+_THROUGHPUT = """
     SELECT CAST(completed_at AS DATE) AS date, count(*) AS jobs_processed, CAST(sum(processed_rows) AS BIGINT) AS records_processed,
            round(CASE WHEN coalesce(sum(processing_time), 0) = 0 THEN 0.0::DOUBLE ELSE sum(processed_rows)::DOUBLE / sum(processing_time) END, 2) AS avg_records_per_second,
            round(coalesce(sum(processing_time), 0.0::DOUBLE) / count(*), 2) AS avg_processing_time_seconds
-    FROM js WHERE status = 'completed' AND completed_at >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY GROUP BY 1""", "f_job", "f_stats", js=_JS))
+    FROM js WHERE status = 'completed' AND completed_at >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY GROUP BY 1"""
+
+
+@query("d12_daily_throughput", oracle(_THROUGHPUT, "f_job", "f_stats", js=_JS))
 def d12(s: Source):
     return dashboard.daily_throughput(_jobs_with_stats(s), ASOF, 365)
 
 
-@query("d13_failure_categories", oracle("""
-    SELECT coalesce(error_message, 'processing_error') AS category, count(*) AS error_count FROM f_chunk WHERE status = 'failed' GROUP BY 1""", "f_chunk"))
+_FAILURES = """
+    SELECT coalesce(error_message, 'processing_error') AS category, count(*) AS error_count FROM f_chunk WHERE status = 'failed' GROUP BY 1"""
+
+
+@query("d13_failure_categories", oracle(_FAILURES, "f_chunk"))
 def d13(s: Source):
     return dashboard.failure_categories(s.view("f_chunk"))
 
@@ -955,6 +975,58 @@ def i4(s: Source):
     return jobs.stalled_jobs(chunk_events(s), F.lit(ASOF), 86_400).select("job_id", "idle_seconds")
 
 
+@query("i4_job_states", oracle("""
+    SELECT job_id, CASE WHEN processed >= 100 THEN 'finished' WHEN last_event + INTERVAL 60 SECOND < newest - INTERVAL 1 HOUR THEN 'stalled' ELSE 'running' END AS state
+    FROM (SELECT job_id, max(event_time) AS last_event FROM e GROUP BY 1)
+    LEFT JOIN (SELECT job_id, sum(row_count) AS processed
+               FROM (SELECT * FROM e WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY event_time, row_count) = 1)
+               GROUP BY 1) USING (job_id), (SELECT max(event_time) AS newest FROM e)""", e=_EVENTS))
+def i4_states(s: Source):
+    """A stream over the events in order of time, with jobs of 100 rows; the newest state of every job."""
+    root, files = s.scratch(), 4
+    events = chunk_events(s).withColumn("total_rows", F.lit(100).cast("bigint"))
+    low, high = events.agg(F.min("event_time"), F.max("event_time")).first()
+    half = F.lit(low + (high - low) / 2)
+    for part in (F.col("event_time") < half, F.col("event_time") >= half):
+        events.filter(part).repartition(files).write.mode("append").parquet(f"{root}/in")
+    stream = s.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    progress.follow_job_states(stream, f"{root}/out", f"{root}/log", forget_seconds=10 * 366 * 86_400, watermark="1 hour").awaitTermination()
+    return progress.newest_states(s.spark.read.parquet(f"{root}/out")).select("job_id", "state")
+
+
+_OF_USER = "job_id IN (SELECT job_id FROM f_job WHERE user_id = 7)"
+_PACK = {
+    "overview": _KPI, "quality": _COMPARISON, "confidence": _TIER_TOTALS,
+    "states": _SHARES.format(k="state", n=36, g="SELECT coalesce(nullif(state, ''), 'Unknown') AS state, count(*) AS record_count FROM shown GROUP BY 1"),
+    "districts": _SHARES.format(k="district, state", n=50, g="SELECT coalesce(nullif(district, ''), 'Unknown') AS district, "
+                                "coalesce(nullif(state, ''), 'Unknown') AS state, count(*) AS record_count FROM shown GROUP BY 1, 2"),
+    "performance": _THROUGHPUT, "errors": _FAILURES,
+    "recent_jobs": "SELECT job_id, status, filename FROM j ORDER BY created_at DESC, job_id DESC LIMIT 10",
+    "reports": "SELECT job_id, status, filename FROM j WHERE status = 'completed' ORDER BY created_at DESC, job_id DESC LIMIT 10",
+}
+
+
+def _pack_twin(body: str, where: str) -> str:
+    tables = {
+        "j": f"SELECT * FROM f_job WHERE {where}", "st": f"SELECT * FROM f_stats WHERE {where}", "ch": f"SELECT * FROM f_chunk WHERE {where}",
+        "shown": f"SELECT state, district FROM (SELECT a_state AS state, a_district AS district, CAST(record_id AS VARCHAR) AS job_id FROM f_processed) AS p WHERE {where}",
+        "js": "SELECT j.*, st.* EXCLUDE (job_id) FROM j LEFT JOIN st ON st.job_id = j.job_id"}
+    return oracle(body.replace("f_stats", "st").replace("f_chunk", "ch"), "f_job", "f_stats", "f_chunk", "f_processed", **tables)
+
+
+def _pack_frame(s: Source, frame: str, of_user: bool):
+    all_jobs = s.view("f_job")
+    shown = s.view("f_processed").select(F.col("a_state").alias("state"), F.col("a_district").alias("district"), F.col("record_id").cast("string").alias("job_id"))
+    pack = results.dashboard_pack(all_jobs, s.view("f_stats"), shown, s.view("f_chunk"), ASOF,
+                                  only=all_jobs.filter("user_id = 7") if of_user else None, days=365)
+    return pack[frame].select("job_id", "status", "filename") if frame in ("recent_jobs", "reports") else pack[frame]
+
+
+for _frame, _body in _PACK.items():
+    query(f"k13_dashboard_{_frame}", _pack_twin(_body, "true"))(lambda s, f=_frame: _pack_frame(s, f, False))
+    query(f"k13_dashboard_{_frame}_of_jobs", _pack_twin(_body, _OF_USER))(lambda s, f=_frame: _pack_frame(s, f, True))
+
+
 # -- whole flow -----------------------------------------------------------------------------
 
 @query("k4_enrich_addresses")

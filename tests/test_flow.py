@@ -77,6 +77,41 @@ def test_live_progress_counts_a_retried_chunk_once(spark, tmp_path):
     assert batch.progress_pct == 50.0 and progress.failed_attempts(spark.read.parquet(f"{tmp_path}/in")).first().failed_attempts == 1
 
 
+def test_job_states_are_released(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    days = [  # "a" finishes with a retried chunk, "b" falls silent, comes back and falls silent, "c" keeps the clock going
+        [("a", 0, 10, 20, "completed", at), ("b", 0, 5, 20, "completed", at), ("c", 0, 1, 99, "completed", at), ("c", None, 1, 99, "completed", at)],
+        [("a", 0, 10, 20, "completed", at.replace(minute=1)), ("a", 1, 10, 20, "completed", at.replace(minute=1)), ("c", 1, 1, 99, "failed", at.replace(minute=1))],
+        [("a", 1, 10, 20, "completed", at.replace(minute=1, second=30)), ("c", 1, 1, 99, "completed", at.replace(hour=1))],
+        [("c", 2, 1, 99, "completed", at.replace(hour=1, minute=1))],
+        [("b", 1, 5, 20, "completed", at.replace(hour=1, minute=2)), ("c", 3, 1, 99, "completed", at.replace(hour=2))],
+        [("c", 4, 1, 99, "completed", at.replace(hour=3))]]
+    for day in days:
+        spark.createDataFrame(day, progress.CHUNK_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    query = progress.follow_job_states(progress.read_chunk_events(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/log", forget_seconds=7200)
+    query.awaitTermination(180)
+    written = spark.read.parquet(f"{tmp_path}/out")
+    rows = [(r.job_id, r.state, r.processed, r.completed_chunks) for r in written.orderBy("batch_id").collect()]
+    assert [r[1:] for r in rows if r[0] == "a"] == [("running", 10, 1), ("finished", 20, 2)]  # the repeat after the end is no new job
+    assert [r[1:] for r in rows if r[0] == "b"] == [("running", 5, 1), ("stalled", 5, 1), ("running", 10, 2), ("stalled", 10, 2)]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 3  # "a" has left
+    events = spark.createDataFrame([e for day in days for e in day], progress.CHUNK_EVENTS)
+    asof = F.lit(at.replace(hour=2, minute=59, second=50)).cast("timestamp")
+    columns = ["job_id", "state", "processed", "total_rows", "completed_chunks"]
+    twin = {tuple(r) for r in progress.job_states_snapshot(events, asof).select(*columns).collect()}
+    assert twin == {tuple(r) for r in progress.newest_states(written).select(*columns).collect()}
+
+
+def test_audit_runs_again_after_a_crash_half_way(spark, tmp_path):
+    rows = [(f"{m}-{i}", datetime(2024, m, 1)) for m in (1, 2) for i in range(4)]
+    audit_rows = spark.createDataFrame(rows, "id string, created_at timestamp")
+    writers.append_audit(audit_rows.filter("id IN ('1-0', '1-1', '2-3')"), f"{tmp_path}/audit")  # what a crash left
+    for _ in range(2):
+        writers.append_audit(audit_rows, f"{tmp_path}/audit")
+    writers.append_audit(spark.createDataFrame([("1-0", datetime(2024, 3, 1))], audit_rows.schema), f"{tmp_path}/audit")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/audit").collect()) == sorted([r[0] for r in rows] + ["1-0"])
+
+
 def test_incremental_enrichment_resumes(spark, tmp_path):
     rows = [("j", 0, 1), ("j", 0, 2)]
     schema = "job_id string, chunk_index int, v int"
