@@ -62,44 +62,59 @@ def events_per_bucket(events: DataFrame, bucket: str = "1 day", watermark: str |
 
 
 JOB_STATES = "job_id string, state string, processed long, total_rows long, completed_chunks int, last_event timestamp"
-# Chunks counted so far, their rows, the total, the newest event in milliseconds, and where the job stands.
-_JOB_STATE = "chunks array<int>, processed long, total_rows long, last_ms long, state string"
+# Of every job of a bucket: chunks counted so far, their rows, the total, the newest event in milliseconds, where the job stands,
+# and when its timer runs out.
+_JOB_STATE = "jobs array<string>, chunks array<array<int>>, processed array<long>, total_rows array<long>, last_ms array<long>, states array<string>, due array<long>"
 RUNNING, FINISHED, STALLED = "running", "finished", "stalled"
+# Jobs are kept in so many buckets, as a call of Python and its frames cost far more than the events of a job.
+JOB_BUCKETS = 4_096
 
 
 def _job_state(stall_seconds: int, forget_seconds: int) -> Callable:
-    def row(job: str, chunks: set[int], processed: int, total: int, last: int, state: str) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"job_id": [job], "state": [state], "processed": [processed], "total_rows": [total],
-                            "completed_chunks": pd.Series([len(chunks)], dtype="int32"), "last_event": [pd.Timestamp(last, unit="ms")]})
-
-    def keep(group: GroupState, chunks: set[int], processed: int, total: int, last: int, state: str, seconds: int) -> None:
-        group.update((sorted(chunks), processed, total, last, state))
-        group.setTimeoutTimestamp(max(last + 1000 * seconds, group.getCurrentWatermarkMs() + 1))
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        known, processed, total, last, state = group.get if group.exists else ([], 0, 0, 0, RUNNING)
-        chunks = set(known)
-        if group.hasTimedOut:
+        now = group.getCurrentWatermarkMs()
+        jobs = {job: (set(chunks), *rest) for job, chunks, *rest in zip(*group.get)} if group.exists else {}
+        rows: list[tuple] = []
+
+        def keep(job: str, chunks: set[int], processed: int, total: int, last: int, state: str, seconds: int) -> None:
+            jobs[job] = (chunks, processed, total, last, state, max(last + 1000 * seconds, now + 1))
+
+        heard: dict[str, tuple[int, int, dict[int, tuple[int, int]]]] = {}
+        if not group.hasTimedOut:
+            for events in batches:
+                for job, chunk, count, of, status, ms in zip(events["job_id"].tolist(), events["chunk_index"].tolist(), events["row_count"].tolist(),
+                                                             events["total_rows"].tolist(), events["status"].tolist(), events["_ms"].tolist()):
+                    last, total, first = heard.get(job, (0, 0, {}))
+                    if status == "completed":
+                        first[chunk] = min(first.get(chunk, (ms, count)), (ms, count))
+                    heard[job] = max(last, ms), max(total, of), first
+        for job in [j for j, (*_, due) in jobs.items() if due < now and j not in heard]:
+            chunks, processed, total, last, state, _ = jobs[job]
             if state == RUNNING:
-                keep(group, chunks, processed, total, last, STALLED, forget_seconds)
-                yield from row(key[0], chunks, processed, total, last, STALLED)
+                keep(job, chunks, processed, total, last, STALLED, forget_seconds)
+                rows.append((job, STALLED, processed, total, len(chunks), last))
             else:
-                group.remove()
-            return
-        first: dict[int, tuple[int, int]] = {}
-        for events in batches:
-            for chunk, rows, of, status, ms in zip(events["chunk_index"], events["row_count"], events["total_rows"], events["status"], events["_ms"]):
-                last, total = max(last, int(ms)), max(total, int(of))
-                if status == "completed" and chunk not in chunks:
-                    first[int(chunk)] = min(first.get(int(chunk), (int(ms), int(rows))), (int(ms), int(rows)))
-        if state == FINISHED:  # a late repeat of a finished job
-            keep(group, set(), processed, total, last, FINISHED, stall_seconds)
-            return
-        chunks |= set(first)
-        processed += sum(rows for _, rows in first.values())
-        state = FINISHED if total and processed >= total else RUNNING
-        keep(group, set() if state == FINISHED else chunks, processed, total, last, state, stall_seconds)
-        yield from row(key[0], chunks, processed, total, last, state)
+                del jobs[job]
+        for job, (last, total, first) in heard.items():
+            chunks, processed, known_total, known_last, state, _ = jobs.get(job, (set(), 0, 0, 0, RUNNING, 0))
+            last, total = max(last, known_last), max(total, known_total)
+            if state == FINISHED:  # a late repeat of a finished job
+                keep(job, set(), processed, total, last, FINISHED, stall_seconds)
+                continue
+            processed += sum(count for chunk, (_, count) in first.items() if chunk not in chunks)
+            chunks = chunks | set(first)
+            state = FINISHED if total and processed >= total else RUNNING
+            keep(job, set() if state == FINISHED else chunks, processed, total, last, state, stall_seconds)
+            rows.append((job, state, processed, total, len(chunks), last))
+        if jobs:
+            columns = list(zip(*((job, sorted(chunks), *rest) for job, (chunks, *rest) in jobs.items())))
+            group.update(tuple(list(c) for c in columns))
+            group.setTimeoutTimestamp(max(min(columns[-1]), now + 1))
+        else:
+            group.remove()
+        if rows:
+            found = pd.DataFrame(rows, columns=["job_id", "state", "processed", "total_rows", "completed_chunks", "last_event"])
+            yield found.astype({"completed_chunks": "int32"}).assign(last_event=pd.to_datetime(found["last_event"], unit="ms"))
 
     return step
 
@@ -114,9 +129,10 @@ def job_states(events: DataFrame, stall_seconds: int = STALL_SECONDS, forget_sec
     """
     filled = events.filter("job_id IS NOT NULL AND chunk_index IS NOT NULL AND event_time IS NOT NULL")
     rows = filled.withWatermark("event_time", watermark).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(JOB_BUCKETS)).alias("_bucket"),
         "job_id", "chunk_index", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
         F.coalesce("status", F.lit("")).alias("status"), "event_time", F.unix_millis("event_time").alias("_ms"))
-    return rows.groupBy("job_id").applyInPandasWithState(
+    return rows.groupBy("_bucket").applyInPandasWithState(
         _job_state(stall_seconds, forget_seconds), JOB_STATES, _JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -158,3 +158,19 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 120
+
+
+def test_job_states_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(progress, "JOB_BUCKETS", 2)
+    at = datetime(2024, 1, 1)
+    batches = [  # odd jobs finish, even ones fall silent when the clock of "z" goes on
+        [(f"j{i}", 0, 10, 20, "completed", at) for i in range(20)],
+        [(f"j{i}", 1, 10, 20, "completed", at.replace(minute=1)) for i in range(1, 20, 2)] + [("z", 0, 1, 99, "completed", at.replace(minute=1))],
+        [("z", 1, 1, 99, "completed", at.replace(hour=1))], [("z", 2, 1, 99, "completed", at.replace(hour=1, second=5))]]
+    for batch in batches:
+        spark.createDataFrame(batch, progress.CHUNK_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    query = progress.follow_job_states(progress.read_chunk_events(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/log")
+    query.awaitTermination(180)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
+    got = {(r.job_id, r.state, r.processed) for r in progress.newest_states(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert got == {(f"j{i}", "finished", 20) if i % 2 else (f"j{i}", "stalled", 10) for i in range(20)} | {("z", "running", 3)}
