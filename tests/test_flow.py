@@ -174,3 +174,12 @@ def test_job_states_share_buckets(spark, tmp_path, monkeypatch):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
     got = {(r.job_id, r.state, r.processed) for r in progress.newest_states(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert got == {(f"j{i}", "finished", 20) if i % 2 else (f"j{i}", "stalled", 10) for i in range(20)} | {("z", "running", 3)}
+
+
+def test_towns_of_a_pin_are_spread_over_all_cores(spark):
+    from pataspark.operators import census
+    pins = spark.createDataFrame([(f"{100000 + i}", "D", "S", "T") for i in range(50)], "pincode string, district string, state string, taluk string")
+    rows = [("d", "s", f"town {i}", "Town") for i in range(400)] + [("e", "s", "far", "City"), ("d", "s", "village", "Village")]
+    found = census.hierarchy_from_pin(pins, spark.createDataFrame(rows, "district_name string, state_name string, village_name string, level string"))
+    counts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in counts) == 50 * 400 and len(counts) == 4
