@@ -176,6 +176,11 @@ def test_job_states_share_buckets(spark, tmp_path, monkeypatch):
     assert got == {(f"j{i}", "finished", 20) if i % 2 else (f"j{i}", "stalled", 10) for i in range(20)} | {("z", "running", 3)}
 
 
+def test_documents_are_split_into_words_once(spark):
+    from pataspark.workload.base import Source
+    assert "documents" not in Source(spark, SMALL)._text("f_word")
+
+
 def test_towns_of_a_pin_are_spread_over_all_cores(spark):
     from pataspark.operators import census
     pins = spark.createDataFrame([(f"{100000 + i}", "D", "S", "T") for i in range(50)], "pincode string, district string, state string, taluk string")
