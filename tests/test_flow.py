@@ -188,3 +188,28 @@ def test_towns_of_a_pin_are_spread_over_all_cores(spark):
     found = census.hierarchy_from_pin(pins, spark.createDataFrame(rows, "district_name string, state_name string, village_name string, level string"))
     counts = found.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in counts) == 50 * 400 and len(counts) == 4
+
+
+def test_the_audit_query_returns_every_row_whole(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pataspark.plans import address
+    from pataspark.schemas import AUDIT_COLUMNS, INPUT_FIELDS
+    from pataspark.workload import queries_data
+
+    typed = ", ".join(f"{f} string" for f in INPUT_FIELDS)
+    places = "line1 string, locality string, pincode string, city string, district string, state string"
+    schema = (f"record_id long, job_id string, original struct<{typed}>, normalized struct<{typed}>, parsed struct<locality string>, enriched struct<{places}>, "
+              "confidence struct<overall int, parsing_completeness int, locality_match int, pincode_validity int>, pin_resolved boolean")
+    raw = {f: f" {f} " for f in INPUT_FIELDS}
+    clean = {f: f for f in INPUT_FIELDS}
+    whole = clean | {"locality": "here", "city": "elsewhere"}
+    done = spark.createDataFrame([(i, "j", raw, clean, {"locality": None}, {k: whole[k] for k in ("line1", "locality", "pincode", "city", "district", "state")},
+                                   {"overall": 70, "parsing_completeness": 60, "locality_match": 90, "pincode_validity": 100}, True) for i in range(3)], schema)
+    monkeypatch.setattr(address, "process_records", lambda *_, **__: done)
+    rows = queries_data.k7_audit(SimpleNamespace(records=done, references=None))
+    assert rows.columns == list(AUDIT_COLUMNS)
+    got = rows.collect()
+    assert len({r.id for r in got}) == len(got) == 3 * (len(INPUT_FIELDS) + 2)
+    assert {(r.old_value, r.new_value, r.confidence, r.source_dataset) for r in got if r.processing_method in ("locality_match", "spell_correction")} == {
+        (None, "here", 90, "rapidfuzz"), ("city", "elsewhere", 70, "rapidfuzz")}
